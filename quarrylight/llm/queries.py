@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import toxicity, turns
+from quarrylight.llm import pii, toxicity, turns
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,6 +35,21 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.turn_texts(_t(spark, d, "transcript_segments"), _t(spark, d, "video_speakers"))
 
 
+_RECORDS = (("comments_no_pii", "comment_id", "comment_clean"), ("transcript_segments", "segment_id", "text"))
+#: Key of the pseudonyms of p4_redacted; a deployment passes its own secret to ``pii.redacted``.
+_KEY = b"test key, not a secret"
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (pii.items(_t(spark, d, t), t, i, c) for t, i, c in _RECORDS)
+    return a.unionByName(b)
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (pii.redacted(_t(spark, d, t), t, i, c, _KEY) for t, i, c in _RECORDS)
+    return a.unionByName(b)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
