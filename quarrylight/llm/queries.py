@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import pii, toxicity, turns
+from quarrylight.llm import pii, sentences, toxicity, turns
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(_t(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
