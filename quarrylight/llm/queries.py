@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import pii, sentences, toxicity, turns
+from quarrylight.llm import boilerplate, pii, residue, sentences, toxicity, turns
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -50,6 +50,22 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.found(_t(spark, d, "gdelt_news_articles"))
+
+
+def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_text(_t(spark, d, "gdelt_news_articles"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(_t(spark, d, "gdelt_news_articles"))
+
+
+def p5_validation(spark: SparkSession, d: str) -> DataFrame:
+    return residue.validation(_t(spark, d, "gdelt_news_articles"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(_t(spark, d, "documents"))
 
