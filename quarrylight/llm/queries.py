@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.llm import boilerplate, pii, residue, sentences, toxicity, turns
+from quarrylight.llm import boilerplate, mixing, pii, residue, sentences, tokens, toxicity, turns
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def p5_validation(spark: SparkSession, d: str) -> DataFrame:
     return residue.validation(_t(spark, d, "gdelt_news_articles"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(_t(spark, d, "documents"))
+
+
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(_t(spark, d, "documents"))
 
