@@ -2,8 +2,8 @@
 
 Items are found by the formats of e-mail addresses, telephone numbers, identity
 numbers and street addresses, written, disguised or spoken, and names by the
-words that introduce or follow them.  Cheap substring tests decide which of the
-patterns a text is searched for, so most texts cost a few microseconds.
+words that introduce or follow them.  Cheap tests decide which of the patterns a
+text is searched for; each is implied by a match of its pattern, so none is lost.
 
 Replacement is format-preserving: the digits of numbers and dates run through a
 keyed Feistel permutation of all digit strings of their length, separators stay,
@@ -63,6 +63,8 @@ _ID = re.compile(
 
 #: What streets are called.
 _STREETS = "street|st|avenue|ave|road|rd|row|lane|ln|boulevard|blvd|court|ct|crescent|way|drive|dr|terrace|place|square|close|parkway"
+#: Words before "place" and "close" that make them no street.
+_NO_STREET = r"(?:takes?|taken|taking|took|in|first|a|to|will|would|could|can|is|are|was|were|be|so|too|very|not)\s(?:place|close)\b"
 #: Words after an address that are no place.
 _NO_PLACE = r"(?!(?:near|not|but|and|from|who|the|which|or|in|for|so|until|while|where|with|evenings|to|is|was|at|on|since|we|i|my|it)\b)"
 _PLACE = rf"{_NO_PLACE}[^\W\d_][\w'’-]+"
@@ -72,30 +74,27 @@ _COUNTED = r"(?:days?|weeks?|months?|years?|semesters?|hours?|pages?|percent|mil
 _UNIT = r"(?:apt|apartment|unit|suite|flat|room|floor|no)\.?\s?#?\w{1,5}"
 _TAIL = rf"(?:,?\s{_UNIT}(?!\w))?(?:,\s{_PLACE}(?:,?\s{_POST})?|\sin\s(?-i:[A-Z])[\w'’-]+)?"
 _FLAT_BEFORE = re.compile(r"(?<!\w)(?:flat|apt\.?|unit|room)\s\d+\w?,\s$", _I)
-#: (substrings of the lower-cased text, pattern); the first begins with a digit, so that scanning jumps from number to number.
+#: (substrings of the lower-cased text, one of which any match has; pattern); without substrings the pattern begins with a digit, so that scanning jumps from number to number.
 _ADDRESSES = [
     (
-        (
-            " street", " lane", " blvd", " boulevard", " row", " court", " crescent", " ave", " rd", " road", " terrace", " parkway", " drive", " way",
-            " ln", " square", " st.", " st,",
-        ),
+        (),
         re.compile(
-            rf"\d(?<![\w$#.,/-]\d)\d{{0,4}}[a-z]?\s(?!{_COUNTED})(?:[nsew]\.?\s)?(?:(?!(?:{_STREETS})\b)[^\W\d_][\w'’-]*\s){{1,3}}(?:{_STREETS})\b\.?{_TAIL}",
+            rf"\d(?<![\w$#.,/-]\d)\d{{0,4}}[a-z]?\s(?!{_COUNTED})(?:[nsew]\.?\s)?(?:(?!(?:{_STREETS})\b|{_NO_STREET})[^\W\d_][\w'’-]*\s){{1,3}}(?:{_STREETS})\b\.?{_TAIL}",
             _I,
         ),
     ),
-    (("h.no", "h no", "h. no"), re.compile(rf"(?<!\w)h\.?\s?no\.?\s?\d[\d/-]*,\s[^\W\d_]\w*\s(?:colony|nagar|enclave|layout|vihar)(?:,\s{_PLACE}(?:\s{_POST})?)?", _I)),
-    ((" box ", "box\u00a0", ".box"), re.compile(rf"(?<!\w)p\.?\s?o\.?\sbox\s\d+(?:,\s{_PLACE}(?:,?\s{_POST})?)?", _I)),
-    (("weg ", "straße ", "strasse ", "gasse ", "allee ", "platz "), re.compile(rf"(?<!\w)[^\W\d_]+(?:weg|straße|strasse|gasse|allee|platz)\s\d+\w?(?:,\s(?:\d{{5}}\s)?{_PLACE})?", _I)),
+    (("colony", "nagar", "enclave", "layout", "vihar"), re.compile(rf"(?<!\w)h\.?\s?no\.?\s?\d[\d/-]*,\s[^\W\d_]\w*\s(?:colony|nagar|enclave|layout|vihar)(?:,\s{_PLACE}(?:\s{_POST})?)?", _I)),
+    (("box",), re.compile(rf"(?<!\w)p\.?\s?o\.?\sbox\s\d+(?:,\s{_PLACE}(?:,?\s{_POST})?)?", _I)),
+    (("weg", "straße", "strasse", "gasse", "allee", "platz"), re.compile(rf"(?<!\w)[^\W\d_]+(?:weg|straße|strasse|gasse|allee|platz)\s\d+\w?(?:,\s(?:\d{{5}}\s)?{_PLACE})?", _I)),
     (
-        ("calle ", "avenida ", "paseo ", "plaza "),
+        ("calle", "avenida", "paseo", "plaza"),
         re.compile(rf"(?<!\w)(?:calle|avenida|paseo|plaza)\s(?:del?\s|la\s|las\s|los\s)*[^\W\d_]+\s\d+(?:,\s\d+\s?[ºª°]\s?\w)?(?:,\s(?:\d{{5}}\s)?{_PLACE})?", _I),
     ),
     (
-        (", rue", ", avenue", ", boulevard", ", place", ", quai", ", chemin"),
+        (),
         re.compile(rf"\d(?<![\w$#.,/-]\d)\d{{0,3}}(?:\s(?:bis|ter))?,\s(?:rue|avenue|boulevard|place|quai|chemin)\s(?:du\s|de\s|des\s|la\s|l['’])*[^\W\d_][\w'’-]*(?:,\s(?:\d{{5}}\s)?{_PLACE})?", _I),
     ),
-]
+]
 
 # -- names ------------------------------------------------------------------------------------------------------------
 
@@ -121,8 +120,8 @@ def _cue(before: str, after: str = r"(?![\w'’-])") -> re.Pattern[str]:
 
 
 _KIN = "wife|husband|partner|spouse|son|daughter|brother|sister|mother|father|roommate|neighbo(?:u)?r|friend|colleague|lawyer|attorney|adviser|advisor|student|cousin|boss|landlord|landlady|supervisor|professor|client|patient|tenant"
-#: (substrings of the lower-cased text, one of which must occur; pattern).
-_NAME_CUES: list[tuple[tuple[str, ...], re.Pattern[str]]] = [
+#: (substrings of the lower-cased text, one of which any match has, or a pattern that it has; pattern).
+_NAME_CUES: list[tuple[tuple[str, ...] | re.Pattern[str], re.Pattern[str]]] = [
     (("name is",), _cue(r"\bname is ", r"(?=[,.;]?\s|$)")),
     (("me llamo",), _cue(r"\bme llamo ", r"(?=\sy\b|[,.])")),
     (("mein name", "ich heiße"), _cue(r"\b(?:mein name ist|ich heiße) ", r"(?=[,.])")),
@@ -131,30 +130,33 @@ _NAME_CUES: list[tuple[tuple[str, ...], re.Pattern[str]]] = [
     (("मेरा नाम",), re.compile(r"मेरा नाम (?P<n>[ऀ-ॿ]+(?: [ऀ-ॿ]+){0,2}?) है")),
     (("我叫", "我是", "找"), re.compile(r"(?:我叫|电话[^，。]{5,40}找)(?P<n>[一-鿿·]{2,5}?)(?=[，。,. ]|$)")),
     (("私は", "名前は"), re.compile(r"(?:名前は|私は)(?P<n>[一-鿿ァ-ヶー ]{2,9}?)(?:です|と申)")),
-    (("sincerely", "regards", "signed", "yours", "wishes,", "cheers"), _cue(r"(?:sincerely|regards|signed|yours|yours truly|best wishes|cheers)[,:]\s*(?:<br ?/?>)?\s*")),
+    (("sincerely", "regards", "signed", "yours", "wishes", "cheers"), _cue(r"(?:sincerely|regards|signed|yours|yours truly|best wishes|cheers)[,:]\s*(?:<br ?/?>)?\s*")),
     (("submitted by",), _cue(r"\bsubmitted by ", r"(?=,)")),
-    (("— ", "– ", "-- "), _cue(rf"(?:—|–|--)(?:(?=\s{_N}\s*(?:$|\n|<))|" r"(?<=[\n>.!?)] .)|(?<=[\n>.!?)].)|(?<=^.)|(?<=[\n>.!?)]  .))\s", r"(?=\s*(?:$|[\n<]|[.!]|\s[^\W\d_]))")),
+    (("—", "–", "--"), _cue(rf"(?:—|–|--)(?:(?=\s{_N}\s*(?:$|\n|<))|" r"(?<=[\n>.!?)] .)|(?<=[\n>.!?)].)|(?<=^.)|(?<=[\n>.!?)]  .))\s", r"(?=\s*(?:$|[\n<]|[.!]|\s[^\W\d_]))")),
     (("thanks, ",), _cue(r"\bthanks, ", rf"(?:{_ID_AHEAD}|(?=\s*(?:$|[\n<.])))")),
-    ((" (",), _cue(r"(?:^|[\n>.!?]\s*)", r"(?=\s\((?:[a-z]{0,3}[-\d][\d -]{5,}[a-z]?|[a-z]{2} \d{7}|[a-z]-\d{7}-[a-z])\))")),
-    ((" | ",), _cue(r"(?<![\w'’-])", r"(?=\s\|\s[+(]?\d)")),
-    (tuple(f"my {k}" for k in ("lawyer", "attorney", "adviser", "advisor", "friend", "colleague")), _cue(rf"\bmy (?:{_KIN}) \(", r"(?=\))")),
+    (re.compile(r"\s\((?:[a-z]{0,3}[-\d][\d -]{5}|[a-z]{2} \d{7}|[a-z]-\d{7})"), _cue(r"(?:^|[\n>.!?]\s*)", r"(?=\s\((?:[a-z]{0,3}[-\d][\d -]{5,}[a-z]?|[a-z]{2} \d{7}|[a-z]-\d{7}-[a-z])\))")),
+    (re.compile(r"\|\s[+(]?\d"), _cue(r"(?<![\w'’-])", r"(?=\s\|\s[+(]?\d)")),
+    (re.compile(rf"my (?:{_KIN}) \("), _cue(rf"\bmy (?:{_KIN}) \(", r"(?=\))")),
     (("my ",), _cue(rf"\bmy (?:{_KIN}),? ", r"(?=,?\s(?:lost|has|had|is|was|left|got|works|wrote|said|told|can|could|will|would|and)\b)")),
     (("of mine, ", "of ours, "), _cue(r"\bof (?:mine|ours), ", r"(?=,)")),
     (("i'm ", "i’m ", "this is "), re.compile(rf"\b(?:i['’]m|this is) {_TITLE}(?P<n>(?={_G} |{_IN} ?){_N})(?=,? and i\b|,? (?:from|here|calling|speaking)\b|, (?:an?|the|your)\b)", _I)),
     (("since ",), _cue(r"\bsince ", r"(?=\s(?:left|moved|retired|is|was|has)\b)")),
-    (("share a ", "live with", "room with"), _cue(r"\b(?:share an? [a-z]+ with|live with|room with) ", r"(?=\s(?:at|in|on)\b|[,.])")),
+    (("share a", "live with", "room with"), _cue(r"\b(?:share an? [a-z]+ with|live with|room with) ", r"(?=\s(?:at|in|on)\b|[,.])")),
     (("for the file", "for the record"), _cue(r"\bfor the (?:file|record): ", r"(?=,)")),
     (("ask ",), _cue(r"\bask ", r"(?=,?\swho\b)")),
-    ((" can confirm", " can vouch", " will confirm"), _cue(r"(?<![\w'’,-])", r"(?=\s(?:can|will)\s(?:confirm|vouch)\b)")),
+    (re.compile(r"(?:can|will)\s(?:confirm|vouch)"), _cue(r"(?<![\w'’,-])", r"(?=\s(?:can|will)\s(?:confirm|vouch)\b)")),
     ((" here, a ", " here, an "), re.compile(rf"(?<![\w'’,-])(?P<n>(?={_G},? (?:{_IN} )*{_PART}?{_G} here|{_IN} {_PART}?{_G} here){_N})(?= here, an? )", _I)),
-    ((" here, a ", " here, an ", " here, the ", " here, one "), _cue(r"(?:^|[\n>.!?)]\s*)", r"(?=\shere,\s(?:an?|the|one)\b)")),
-    (("were both", "are both", "have both", "had both"), re.compile(rf"(?<![\w'’,-])(?P<n>{_N}) and (?P<m>{_N})(?=\s(?:were|are|have|had)\sboth\b)", _I)),
+    (re.compile(r"here,\s(?:an?|the|one)"), _cue(r"(?:^|[\n>.!?)]\s*)", r"(?=\shere,\s(?:an?|the|one)\b)")),
+    (re.compile(r"(?:were|are|have|had)\sboth"), re.compile(rf"(?<![\w'’,-])(?P<n>{_N}) and (?P<m>{_N})(?=\s(?:were|are|have|had)\sboth\b)", _I)),
 ]
 _FROM = re.compile(rf"\sfrom\s{_TITLE}(?P<n>{_N})(?=\s*(?:[.,<\n]|$)|\s(?-i:[A-Z]))", _I)
 _LINE_NAME = re.compile(rf"(?P<n>{_N})\s*$", _I)
 
 _LONG_NUMBER = re.compile(r"\d(?:[^\w\n]{0,3}\w?\d){6}")
-_SAID = ("zero", "oh ", "one ", "two ", "three ", "four ", "five ", "six ", "seven ", "eight ", "nine ")
+_AT_IN_BRACKETS = re.compile(r"[\[({]\s?at\s?[\])}]")
+_DIGIT_WORDS = tuple(_DIGIT[3:-1].split("|"))
+#: Letters that match another one without regard to case but aren't lower-cased to it; a text with one is searched for all patterns.
+_ODD = re.compile("[İıſﬅﬆ\u1c80-\u1c88]")
 
 Item = tuple[int, int, str]
 
@@ -177,44 +179,42 @@ def find(text: str | None) -> list[Item]:
     if not text:
         return []
     low = text.lower()
+    odd = not text.isascii() and _ODD.search(text) is not None
     out: list[Item] = []
-    if "@" in text or "&#64;" in text or "＠" in text or "at)" in low or "at]" in low or "at}" in low:
+    if "@" in text or "&#64;" in text or "＠" in text or "&commat;" in low or _AT_IN_BRACKETS.search(low):
         out += [(*m.span(), "EMAIL") for m in _EMAIL.finditer(text)]
-    if " dot " in low and " at " in low:
+    if "dot" in low:
         out += [(*m.span(), "EMAIL") for m in _EMAIL_SAID.finditer(text)]
     long = _LONG_NUMBER.search(text) is not None
     if long:
         out += [(*m.span(), "ID_NUMBER") for m in _ID.finditer(text)]
+    if long or "+" in text:
         for m in _PHONE.finditer(text):
             a, b = m.span()
             if 7 <= sum(c.isdigit() for c in m[0]) <= 18:
                 out.append((a, b, "PHONE"))
-    if "five five five" in low or sum(w in low for w in _SAID) >= 4:
+    if odd or sum(map(low.count, _DIGIT_WORDS)) >= 7:
         for m in _PHONE_SAID.finditer(text):
             n = len(re.findall(_DIGIT, m[0], _I)) + len(re.findall("double|triple", m[0], _I))
             called = _ID_SAID.search(text, max(0, m.start() - 60), m.start())
             out.append((*m.span(), "ID_NUMBER" if called or n in (8, 9) else "PHONE"))
     for gates, pattern in _ADDRESSES:
-        for g in gates:
-            if g in low:
-                for m in pattern.finditer(text):
-                    a, b = m.span()
-                    if (f := _FLAT_BEFORE.search(text, max(0, a - 16), a)) is not None:
-                        a = f.start()
-                    out.append((a, b, "ADDRESS"))
-                    if (f := _FROM.match(text, b)) is not None:
-                        out.append((f.start("n"), f.end("n"), "NAME"))
-                break
+        if odd or not gates or any(g in low for g in gates):
+            for m in pattern.finditer(text):
+                a, b = m.span()
+                if (f := _FLAT_BEFORE.search(text, max(0, a - 16), a)) is not None:
+                    a = f.start()
+                out.append((a, b, "ADDRESS"))
+                if (f := _FROM.match(text, b)) is not None:
+                    out.append((f.start("n"), f.end("n"), "NAME"))
     if out and ("\n" in text or "<br" in low):
         _signature_names(text, low, out)
     for gates, pattern in _NAME_CUES:
-        for g in gates:
-            if g in low and (long or g not in (" (", " | ")):
-                for m in pattern.finditer(text):
-                    out.append((m.start("n"), m.end("n"), "NAME"))
-                    if "m" in pattern.groupindex:
-                        out.append((m.start("m"), m.end("m"), "NAME"))
-                break
+        if odd or (any(g in low for g in gates) if isinstance(gates, tuple) else gates.search(low)):
+            for m in pattern.finditer(text):
+                out.append((m.start("n"), m.end("n"), "NAME"))
+                if "m" in pattern.groupindex:
+                    out.append((m.start("m"), m.end("m"), "NAME"))
     if len(out) < 2:
         return out
     out.sort(key=lambda x: (x[2] == "NAME", x[0] - x[1], x[0]))
@@ -284,7 +284,7 @@ def placeholder(value: str, kind: str, key: bytes) -> str:
         return f"[{kind} {_feistel(digits, key)}]"
     plain = value.lower()
     if kind == "EMAIL":
-        plain = re.sub(r"\s?(?:&#64;|＠|[\[({]\s?at\s?[\])}]|\bat\b)\s?", "@", plain)
+        plain = re.sub(r"\s?(?:&#64;|&commat;|＠|[\[({]\s?at\s?[\])}]|\bat\b)\s?", "@", plain)
         plain = re.sub(r"\s?(?:[\[({]\s?dot\s?[\])}]|\bdot\b)\s?", ".", plain).replace(" underscore ", "_").replace(" dash ", "-").replace(" ", "")
     elif kind == "NAME" and "," in plain:
         plain = " ".join(reversed([p.strip() for p in plain.split(",", 1)]))
@@ -309,8 +309,7 @@ def redact(text: str | None, key: bytes) -> str | None:
             return m[0]
         return m[0][: m.start(1) - m.start()] + f"{y:04d}-{mo:02d}-{d:02d}"
 
-    done = "".join(out)
-    return _BORN.sub(born, done) if "birth" in done or "born" in done or "dob" in done.lower() else done
+    return _BORN.sub(born, "".join(out))
 
 
 # -- Spark ------------------------------------------------------------------------------------------------------------
