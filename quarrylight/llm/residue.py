@@ -4,7 +4,8 @@ Sentences of collected pages get weak labels from response status phrases and
 placeholder syntax; a linear classifier with L2 penalty over hashed character and
 word n-grams, length and title features learns from them on a bounded sample of
 pages (``MAX_PAGES``, by hash of the id) and scores every sentence of every page.
-It is validated on hosts that it never saw (``validation``).  A page is found when
+A second one tells demands for scripts from the rest.  High probabilities decide
+alone, also beside a story; lower ones are confirmed by exact forms.  It is validated on hosts that it never saw (``validation``).  A page is found when
 a sentence is residue; a demand for scripts or a wait-here notice counts only
 where the page holds no story beside it.
 
@@ -84,8 +85,15 @@ def shape(sentence: str) -> str:
     return _NAMES.sub("Nn", _DIGITS.sub("0", sentence))
 
 
-#: Probability at which a sentence without any weak label counts, and only in a page without a story.
-ALONE = 0.9
+#: Probability at which a sentence counts, and that at which it does so without an exact form.
+LIKELY, ALONE = 0.5, 0.9
+_LETTERS = re.compile(r"[^\W\d_]{2}|[^\x00-\u02ff\W\d_]")
+
+
+def title_class(sentence: str, title: str | None) -> tuple[int, bool]:
+    """How many words the sentence shares with the title, 4 at most, and whether there is no title."""
+    title_words = set((title or "").lower().split())
+    return min(len(title_words & set(sentence.lower().split())), 4), not title_words
 
 
 def features(sentence: str, title: str | None) -> np.ndarray:
@@ -97,10 +105,9 @@ def features(sentence: str, title: str | None) -> np.ndarray:
     words = low.split()
     got |= {zlib.crc32(w.encode(), 11) & mask for w in words}
     got |= {zlib.crc32(f"{a} {b}".encode(), 12) & mask for a, b in zip(words, words[1:])}
-    title_words = set((title or "").lower().split())
-    shared = len(title_words & set(words))
+    shared, untitled = title_class(sentence, title)
     ends = sentence[-1:] if not sentence[-1:].isalnum() else "a"
-    for k in (f"len{min(len(words), 40) // 4}", f"title{min(shared, 4)}", f"notitle{not title_words}", f"end{ends}", f"upper{sentence[:1].isupper()}"):
+    for k in (f"len{min(len(words), 40) // 4}", f"title{shared}", f"notitle{untitled}", f"end{ends}", f"upper{sentence[:1].isupper()}"):
         got.add(zlib.crc32(k.encode(), 13) & mask)
     return np.fromiter(got, np.int32, len(got))
 
@@ -139,22 +146,37 @@ def host_part(domain: str | None) -> int:
     return zlib.crc32((domain or "").strip().lower().encode()) % 5
 
 
+class Model:
+    """``affected`` tells affected sentences from ordinary ones, ``demand`` demands for scripts from other affected ones."""
+
+    def __init__(self, rows: list[np.ndarray], kinds: np.ndarray, often: np.ndarray) -> None:
+        self.affected = _fit(rows, kinds > 0, often)
+        of = np.flatnonzero(kinds)
+        one = set(kinds[of]) if len(set(kinds[of])) == 1 else None
+        self.demand = float(2 in one) if one else _fit([rows[i] for i in of], kinds[of] == 2, often[of])
+
+    def is_demand(self, row: np.ndarray) -> bool:
+        return (self.demand if isinstance(self.demand, float) else self.demand.probability(row)) >= 0.5
+
+
+def _fit(rows: list[np.ndarray], labels: np.ndarray, often: np.ndarray) -> Classifier:
+    """Both classes weigh the same."""
+    weights = often * np.where(labels, 0.5 / often[labels].sum(), 0.5 / often[~labels].sum())
+    return Classifier().fit(rows, labels.astype(float), weights)
+
+
 def _examples(pages: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct sentence shapes of (text, title, domain) rows with weak labels; both classes weigh the same."""
-    seen: dict[str, tuple[np.ndarray, int]] = {}
+    """Distinct sentence shapes of (text, title, domain) rows by title class, their weak labels, and roots of their counts."""
+    seen: dict[tuple, tuple[np.ndarray, int]] = {}
     times: Counter = Counter()
     for text, title, _ in pages:
         for s in sentences(text):
             k = shape(s)
-            times[k] += 1
-            if k not in seen:
-                seen[k] = features(k, title), weak_label(s) > 0
-    labels = np.array([y for _, y in seen.values()], float)
-    if not seen or labels.min() == labels.max():
-        return [], labels, labels
-    often = np.sqrt([times[k] for k in seen])
-    weights = often * np.where(labels > 0, 0.5 / often[labels > 0].sum(), 0.5 / often[labels == 0].sum())
-    return [x for x, _ in seen.values()], labels, weights
+            key = k, title_class(k, title)
+            times[key] += 1
+            if key not in seen:
+                seen[key] = features(k, title), weak_label(s)
+    return [x for x, _ in seen.values()], np.array([y for _, y in seen.values()], int), np.sqrt([times[k] for k in seen])
 
 
 def _sample(articles: DataFrame) -> list[tuple]:
@@ -169,9 +191,9 @@ def _sample(articles: DataFrame) -> list[tuple]:
     return [(r.article_text, r.title, r.domain) for r in rows]
 
 
-def train(articles: DataFrame) -> Classifier | None:
-    rows, labels, weights = _examples(_sample(articles))
-    return Classifier().fit(rows, labels, weights) if rows else None
+def train(articles: DataFrame) -> Model | None:
+    rows, kinds, often = _examples(_sample(articles))
+    return Model(rows, kinds, often) if len(set(kinds > 0)) == 2 else None
 
 
 def is_story(sentence: str) -> bool:
@@ -181,21 +203,29 @@ def is_story(sentence: str) -> bool:
     return len(sentence) >= 45 and sentence[-1:] in ".!?\"”»" and sentence.count(" ") >= 7
 
 
+def decide(sentence: str, p: float, demand: bool) -> int:
+    """1 residue or error, 2 demand for scripts, 0 neither; p: probability that it is affected, demand: the kind it then is."""
+    if p < LIKELY:
+        return 0
+    if label := weak_label(sentence):
+        return label
+    if p >= ALONE and _LETTERS.search(sentence) and not _ORDINARY.search(sentence):
+        return 2 if demand else 1
+    return int(_looks_filled(sentence))
+
+
 def residue(text: str | None, title: str | None, probability) -> bool:
-    """Whether the page is a case; ``probability`` scores a sentence."""
-    demands, story, bad, odd = 0, 0, 0, 0
+    """Whether the page is a case; ``probability`` scores a sentence, as does ``scorer``."""
+    demands, story, bad = 0, 0, 0
     for s in sentences(text):
-        p = probability(s, title)
-        label = weak_label(s) if p >= 0.5 else 0
-        if label == 2:
+        kind = decide(s, *probability(s, title))
+        if kind == 2:
             demands += 1
-        elif label == 1 or (p >= 0.5 and _looks_filled(s)):
+        elif kind:
             bad += 1
         elif is_story(s) and not _ORDINARY_NOTICE.search(s):
             story += 1
-        elif p >= ALONE and not _ORDINARY.search(s):
-            odd += 1
-    return bad > 0 or (story == 0 and demands + odd > 0)
+    return bad > 0 or (story == 0 and demands > 0)
 
 
 _ORDINARY_NOTICE = re.compile(r"\bcookies?\b|\bsubscribe from\b|\bfree articles left\b|all rights reserved|\bcomments\b|best viewed|\bsign up for\b", _I)
@@ -207,19 +237,22 @@ def _looks_filled(sentence: str) -> bool:
     return len(words) >= 8 and len(set(words)) <= 0.75 * len(words)
 
 
-def scorer(model: Classifier | None):
-    """A function of sentence and title that remembers the forms it has scored."""
-    memo: dict[str, float] = {}
+def scorer(model: Model | None):
+    """A function of sentence and title, to probability and kind, that remembers the forms and title classes it has scored."""
+    memo: dict[tuple, tuple[float, bool]] = {}
 
-    def probability(s: str, title: str | None) -> float:
+    def probability(s: str, title: str | None) -> tuple[float, bool]:
         if model is None:
-            return float(weak_label(s) > 0)
+            return float(weak_label(s) > 0), False
         k = shape(s)
-        if (p := memo.get(k)) is None:
+        key = k, title_class(k, title)
+        if (got := memo.get(key)) is None:
             if len(memo) > 100_000:
                 memo.clear()
-            p = memo[k] = model.probability(features(k, title))
-        return p
+            row = features(k, title)
+            p = model.affected.probability(row)
+            got = memo[key] = p, p >= ALONE and model.is_demand(row)
+        return got
 
     return probability
 
@@ -243,14 +276,15 @@ def found(articles: DataFrame) -> DataFrame:
 def validation(articles: DataFrame) -> DataFrame:
     """Precision and recall against the weak labels on hosts that were held out of fitting (a fifth of them)."""
     pages = _sample(articles)
-    rows, labels, weights = _examples([p for p in pages if host_part(p[2])])
+    rows, kinds, often = _examples([p for p in pages if host_part(p[2])])
     spark = articles.sparkSession
     out = "hosts long, sentences long, positives long, precision double, recall double"
-    if not rows:
+    if len(set(kinds > 0)) < 2:
         return spark.createDataFrame([], out)
-    model = Classifier().fit(rows, labels, weights)
+    model = Model(rows, kinds, often).affected
     held = [p for p in pages if not host_part(p[2])]
     test, truth, _ = _examples(held)
+    truth = truth > 0
     guess = np.array([model.probability(r) >= 0.5 for r in test], bool)
     hit = float((guess & (truth > 0)).sum())
     row = (

@@ -1,0 +1,29 @@
+"""The classifier decides beside a story, and by the title of the page at hand."""
+
+from quarrylight.llm import residue as R
+
+STORY = "The council met on Monday evening to discuss the plan for the new bridge over the river."
+FILLER = "Quidam velitam sitar ornare mollit tempora finibus auctora."
+
+
+def test_unlisted_sentence_beside_a_story():
+    assert R.weak_label(FILLER) == 0
+    score = lambda s, t: (0.95 if s == FILLER else 0.01, False)
+    assert R.residue(f"{STORY}\n{FILLER}", "Bridge", score)
+    assert not R.residue(STORY, "Bridge", score)
+
+
+def test_demand_counts_only_without_a_story():
+    wait = "Hold tight while our gate opens."
+    score = lambda s, t: (0.95 if s == wait else 0.01, True)
+    assert R.residue(wait, None, score)
+    assert not R.residue(f"{STORY}\n{wait}", None, score)
+
+
+def test_memo_knows_the_title():
+    pages = [(f"{STORY} Page {i} is about the bridge.\nlorem ipsum dolor sitar {i}", "Bridge" if i % 2 else None, "a.org") for i in range(9)]
+    rows, kinds, often = R._examples(pages)
+    model = R.Model(rows, kinds, often)
+    used = R.scorer(model)
+    first = used("lorem bridge plan", None)
+    assert used("lorem bridge plan", "The bridge plan") == R.scorer(model)("lorem bridge plan", "The bridge plan") != first
