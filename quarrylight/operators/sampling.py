@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -40,37 +39,34 @@ def rank_positions(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     )
 
 
-def farthest(df: DataFrame, key: str, x: str, y: str, n: int, cells: int = 64) -> DataFrame:
+def farthest(df: DataFrame, key: str, x: str, y: str, n: int) -> DataFrame:
     """n keys by farthest-point order: the four corners' nearest points, then always the point farthest from those chosen.
 
-    Only the extreme points of a grid of ``cells`` x ``cells`` take part, at most four a cell, so the loop's input has
-    a bound that doesn't depend on the table; ties go to the smaller (x, key).
+    Every row takes part in every pick, by one aggregation each; only the picks come to the driver. A key is chosen
+    once; ties go to the smaller (x, key).
     """
-    cell = lambda c: F.least(F.floor(F.col(c) * cells), F.lit(cells - 1))
-    grid = df.select(key, x, y).dropna().withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
-    item = F.struct(key, x, y)
-    corners = [F.min_by(item, F.struct((F.lit(sx) * F.col(x) + F.lit(sy) * F.col(y)).alias("d"), F.col(x), F.col(key))).alias(f"c{i}") for i, (sx, sy) in enumerate(((1, 1), (1, -1), (-1, 1), (-1, -1)))]
-    points = grid.groupBy("_cx", "_cy").agg(*corners).select(F.explode(F.array("c0", "c1", "c2", "c3")).alias("p")).select("p.*").distinct().toPandas()
-    chosen = _farthest(points.rename(columns={key: "k", x: "x", y: "y"}), n)
-    rows = [(k, i) for i, k in enumerate(chosen, 1)]
+    points = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().persist()
+    chosen: list[Row] = []
+
+    def distance(cx: float, cy: float) -> Column:
+        dx, dy = F.col("x") - F.lit(cx), F.col("y") - F.lit(cy)
+        return dx * dx + dy * dy
+
+    def take(order: Column) -> bool:
+        left = points.filter(~F.col("k").isin([p.k for p in chosen])) if chosen else points
+        p = left.agg(F.min_by(F.struct("k", "x", "y"), F.struct(order.alias("d"), "x", "k")).alias("p")).first().p
+        if p is not None:
+            chosen.append(p)
+        return p is not None
+
+    corners = [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)]
+    while len(chosen) < n:
+        if len(chosen) < 4:
+            order = distance(*corners[len(chosen)])
+        else:
+            order = -F.array_min(F.array(*(distance(p.x, p.y) for p in chosen)))
+        if not take(order):
+            break
+    points.unpersist()
+    rows = [(p.k, i) for i, p in enumerate(chosen, 1)]
     return df.sparkSession.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, pick int")
-
-
-def _farthest(p: pd.DataFrame, n: int) -> list:
-    p = p.sort_values(["x", "k"]).reset_index(drop=True)
-    left, chosen = list(range(len(p))), []
-    xs, ys, ks = p.x.to_numpy(), p.y.to_numpy(), p.k.tolist()
-    gap = [float("inf")] * len(p)
-
-    def take(i: int) -> None:
-        chosen.append(ks[i])
-        left.remove(i)
-        for j in left:
-            gap[j] = min(gap[j], (xs[i] - xs[j]) ** 2 + (ys[i] - ys[j]) ** 2)
-
-    for cx, cy in ((0, 0), (0, 1), (1, 0), (1, 1)):
-        if left and len(chosen) < n:
-            take(min(left, key=lambda i: ((xs[i] - cx) ** 2 + (ys[i] - cy) ** 2, i)))
-    while left and len(chosen) < n:
-        take(max(left, key=lambda i: (gap[i], -i)))
-    return chosen
