@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the sample of pages for fitting and for validating.
+#: Bound of the sample of pages for fitting.
 MAX_PAGES = 6_000
 BITS = 17
 L2, STEPS, RATE = 1e-4, 150, 0.5
@@ -274,24 +274,38 @@ def found(articles: DataFrame) -> DataFrame:
 
 
 def validation(articles: DataFrame) -> DataFrame:
-    """Precision and recall against the weak labels on hosts that were held out of fitting (a fifth of them)."""
-    pages = _sample(articles)
-    rows, kinds, often = _examples([p for p in pages if host_part(p[2])])
+    """Precision and recall of ``decide`` against the weak labels, over all pages of hosts that were held out of fitting (a fifth of them)."""
+    held = F.udf(lambda domain: host_part(domain) == 0, "boolean")(F.col("domain"))
+    model = train(articles.filter(~held))
     spark = articles.sparkSession
     out = "hosts long, sentences long, positives long, precision double, recall double"
-    if len(set(kinds > 0)) < 2:
+    if model is None:
         return spark.createDataFrame([], out)
-    model = Model(rows, kinds, often).affected
-    held = [p for p in pages if not host_part(p[2])]
-    test, truth, _ = _examples(held)
-    truth = truth > 0
-    guess = np.array([model.probability(r) >= 0.5 for r in test], bool)
-    hit = float((guess & (truth > 0)).sum())
-    row = (
-        len({p[2] for p in held}),
-        len(test),
-        int(truth.sum()) if len(truth) else 0,
-        round(hit / max(1.0, float(guess.sum())), 4) if len(test) else None,
-        round(hit / max(1.0, float(truth.sum())), 4) if len(test) else None,
-    )
-    return spark.createDataFrame([row], out)
+    var = spark.sparkContext.broadcast(model)
+    names = ["domain", "form", "truth", "guess"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probability = scorer(var.value)
+        for batch in batches:
+            seen: dict[tuple, tuple[bool, bool]] = {}
+            for text, title, domain in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                seen[domain, None] = False, False  # a host without sentences
+                for s in sentences(text):
+                    k = shape(s)
+                    shared, untitled = title_class(k, title)
+                    key = domain, f"{shared} {untitled} {k}"
+                    if key not in seen:
+                        seen[key] = weak_label(s) > 0, decide(s, *probability(s, title)) > 0
+            columns = ([d for d, _ in seen], [k for _, k in seen], [y for y, _ in seen.values()], [g for _, g in seen.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.bool_()) for i, c in enumerate(columns)], names)
+
+    rows = articles.filter(F.col("article_text").isNotNull() & F.col("article_id").isNotNull()).filter(held)
+    scored = rows.select("article_text", "title", "domain").mapInArrow(run, "domain string, form string, truth boolean, guess boolean").persist()
+    # A form is positive, or found, if it is on any page.
+    forms = scored.filter("form is not null").groupBy("form").agg(F.max("truth").alias("truth"), F.max("guess").alias("guess"))
+    share = lambda of: F.when(F.count("*") > 0, F.round(F.count_if(F.col("truth") & F.col("guess")) / F.greatest(F.lit(1), F.count_if(of)), 4))
+    row = forms.agg(F.count("*").alias("sentences"), F.count_if("truth").alias("positives"), share(F.col("guess")).alias("precision"), share(F.col("truth")).alias("recall"))
+    hosts = scored.agg(F.countDistinct(F.coalesce("domain", F.lit(""))).alias("hosts"))
+    got = hosts.crossJoin(row).first()
+    scored.unpersist()
+    return spark.createDataFrame([tuple(got)], out)
