@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.abusive(_t(spark, d, "comments_no_pii"), _t(spark, d, "comment_labels"))
 
 
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scored(_t(spark, d, "comments_no_pii"), _t(spark, d, "comment_labels"))
+
+
 def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(_t(spark, d, "comments_no_pii"), _t(spark, d, "comment_labels"))
 

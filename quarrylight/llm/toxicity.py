@@ -1,16 +1,18 @@
 """Abusive, hateful or sexually explicit language: scores, passages, rates.
 
 Method: every token gets the log-odds of a toxic against a clean language model,
-both smoothed by Dirichlet priors (word over word before, backed by single words,
-backed by counts of the whole corpus).  The maximal-scoring segments of a text,
+both smoothed by Dirichlet priors from counts of the whole corpus (pairs of
+neighbours, backed by single words).  The maximal-scoring segments of a text,
 found in linear time, are its toxic passages; extreme-value statistics turn a
 segment's score and the text's length into a p-value that compares across lengths.
 
 Fitting: a bounded, hash-ordered sample of reviewed comments (``MAX_LABELLED``)
 starts the models on whole comments; then the toxic model is refitted on the
 passages found inside comments reviewed as abusive, and the clean one on the
-rest, so that the harmless sentences around an insult stop counting.  Prior counts
-come from all comments.
+rest, so that the harmless sentences around an insult stop counting.  A passage
+that stands in the corpus more often than its labelled share can explain is
+harmless (``Evidence``).  Prior counts come from all comments; the calibration is
+fitted on labelled clean comments by models that didn't see them.
 
 Defined results: null and blank texts have score 0, p-value 1 and no passage.  A
 repeated ``comment_id`` counts once, with its highest score.  Without any usable
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 30_000
 #: A comment is abusive when its best passage is at least this unlikely in clean text of its length.
 SIGNIFICANCE = 4e-4
-#: Prior strengths: corpus counts in the toxic and in the clean model, as shares of their own tokens, and single words
-#: against pairs, in tokens.  The corpus is mostly clean, so it weighs heavily there; the toxic model leans on its passages.
-TOXIC_PRIOR, CLEAN_PRIOR, PAIR_PRIOR = 0.1, 4.0, 3.0
+#: Prior strengths: corpus counts in the toxic and in the clean model, as shares of their own tokens.
+#: The corpus is mostly clean, so it weighs heavily there; the toxic model leans on its passages.
+TOXIC_PRIOR, CLEAN_PRIOR = 0.1, 4.0
 #: A pair may lift a word's own log-odds by this much, so that no single odd pair makes a passage.
 PAIR_LIFT = 3.0
 ROUNDS = 4
+#: Calibration: folds of the labelled sample, share of clean labels that may be wrong, and the least scale.
+FOLDS, WRONG, LEAST_SCALE = 3, 0.08, 0.2
 _CACHE = 200_000
 
 _CJK = "぀-ヿ㐀-鿿가-힣"
@@ -80,33 +84,47 @@ class Folder:
         self.seen: dict[str, str] = {}
 
     def __call__(self, text: str | None) -> list[str]:
-        if not text:
-            return []
+        return self._folded(_TOKEN.findall(text), None) if text else []
+
+    def spans(self, text: str | None) -> tuple[list[str], list[tuple[int, int]]]:
+        """Tokens and where each stands in the text, end exclusive."""
+        at = [m.span() for m in _TOKEN.finditer(text or "")]
+        return self._folded([text[a:b] for a, b in at], at), at
+
+    def _folded(self, raws: list[str], at: list[tuple[int, int]] | None) -> list[str]:
+        """Tokens of the raw words; ``at``, their places, is brought into line with what is dropped and joined."""
         seen, out = self.seen, []
         if len(seen) > _CACHE:
             seen.clear()
+        kept: list[tuple[int, int]] | None = [] if at is not None else None
         run = 0
-        for raw in _TOKEN.findall(text):
+        for i, raw in enumerate(raws):
             t = seen.get(raw)
             if t is None:
                 t = seen[raw] = fold(raw)
             if t:
                 out.append(t)
+                if kept is not None:
+                    kept.append(at[i])
                 if len(t) == 1 and t != "#" and t < "　":
                     run += 1
                     continue
             if run >= 3:
-                _join(out, run, bool(t))
+                _join(out, kept, run, bool(t))
             run = 0
         if run >= 3:
-            _join(out, run, False)
+            _join(out, kept, run, False)
+        if kept is not None:
+            at[:] = kept
         return out
 
 
-def _join(out: list[str], run: int, after: bool) -> None:
+def _join(out: list[str], at: list[tuple[int, int]] | None, run: int, after: bool) -> None:
     """Letters that stand alone, one after another, become the word they spell."""
     end = len(out) - after
     out[end - run : end] = ["".join(out[end - run : end])]
+    if at is not None:
+        at[end - run : end] = [(at[end - run][0], at[end - 1][1])]
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -196,54 +214,101 @@ def _language_model(texts: Iterable[list[str]], supported: bool) -> tuple[Counte
     return words, pairs, sum(words.values())
 
 
-def _odds(toxic: list[list[str]], clean: list[list[str]], corpus: dict[str, int], corpus_total: int, paired: bool) -> Model:
+class Corpus:
+    """Counts and smoothed rates of words and pairs in the whole corpus, and the number of its texts."""
+
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, texts: int) -> None:
+        self.words, self.pairs, self.total, self.texts = words, pairs, total + len(words) + 1, texts
+
+    def word(self, w: str) -> float:
+        return (self.words.get(w, 0) + 1) / self.total
+
+    def pair(self, v: str, w: str) -> float:
+        return (self.pairs[v, w] + self.word(v)) / self.total
+
+
+def supported_pairs(texts: Iterable[list[str]]) -> set[tuple[str, str]]:
+    """Pairs of neighbours that stand in at least two of the texts; only these can speak for a passage."""
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update(set(zip(t, t[1:])))
+    return {p for p, n in seen.items() if n > 1}
+
+
+def _odds(toxic: list[list[str]], clean: list[list[str]], corpus: Corpus, paired: bool) -> Model:
+    """Log-odds of the toxic against the clean model.
+
+    Words and pairs alike have the counts of the whole corpus as prior, strongly in the clean model and weakly in the
+    toxic one, so what is frequent everywhere needs as much more evidence to count as toxic.
+    """
     tw, tp, tn = _language_model(toxic, True)
     cw, cp, cn = _language_model(clean, False)
-    total = corpus_total + len(corpus) + 1
-    base = lambda w: (corpus.get(w, 0) + 1) / total
     at, ac = max(1.0, TOXIC_PRIOR * tn), max(1.0, CLEAN_PRIOR * cn)
-    pt = lambda w: (tw[w] + at * base(w)) / (tn + at)
-    pc = lambda w: (cw[w] + ac * base(w)) / (cn + ac)
-    words = {w: math.log(pt(w) / pc(w)) for w in tw.keys() | cw.keys()}
+
+    def odds(t: int, c: int, base: float) -> float:
+        return math.log((t + at * base) / (tn + at)) - math.log((c + ac * base) / (cn + ac))
+
+    words = {w: odds(tw[w], cw[w], corpus.word(w)) for w in tw.keys() | cw.keys()}
     pairs: dict[str, dict[str, float]] = {}
     if paired:
+        none: Counter = Counter()
         for v in tp.keys() | cp.keys():
-            a, b = tp.get(v, Counter()), cp.get(v, Counter())
-            na, nb = sum(a.values()) + PAIR_PRIOR, sum(b.values()) + PAIR_PRIOR
+            a, b = tp.get(v, none), cp.get(v, none)
             pairs[v] = {
-                w: min(
-                    math.log((a[w] + PAIR_PRIOR * pt(w)) / na) - math.log((b[w] + PAIR_PRIOR * pc(w)) / nb),
-                    max(math.log(pt(w) / pc(w)), 0.0) + PAIR_LIFT,
-                )
+                w: min(odds(a[w], b[w], corpus.pair(v, w)), max(words.get(w, 0.0), 0.0) + PAIR_LIFT)
                 for w in a.keys() | b.keys()
+                if (v, w) in corpus.pairs
             }
     return Model(words, pairs, math.log((at / (tn + at)) / (ac / (cn + ac))), 1.0)
 
 
-def _calibrate(model: Model, clean: list[list[str]]) -> None:
-    """Fit decay and K of the extreme-value law by the segments of clean text, without the top hundredth (labels may be wrong)."""
-    tops = sorted((model.best(t), len(t)) for t in clean if t)
-    if len(tops) < 20:
-        return
-    kept = tops[: max(20, int(len(tops) * 0.97))]
-    xs = [s for s, _ in kept]
-    mean = sum(xs) / len(xs)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in xs) / len(xs)) or 1.0
-    model.scale = min(1.0, math.pi / (spread * math.sqrt(6)))
-    length = sum(n for _, n in kept) / len(kept)
-    # Mode of the Gumbel law is log(K n) / scale.
-    mode = mean - 0.5772 / model.scale
-    model.k = math.exp(model.scale * max(mode, 0.0)) / length
-
-
-def fit(labelled: list[tuple[str, bool]], corpus: dict[str, int], corpus_total: int) -> Model | None:
-    """A model from (text, is abusive) rows and token counts of the whole corpus."""
-    folder = Folder()
-    bad = [t for x, y in labelled if y and (t := folder(x))]
-    good = [t for x, y in labelled if not y and (t := folder(x))]
-    if not bad or not good:
-        return None
-    model = _odds(bad, good, corpus, corpus_total, False)
+def tail(tops: list[tuple[float, int]]) -> tuple[float, float]:
+    """(scale, K) of the extreme-value law ``P(top > s) = K n exp(-scale s)`` from (top, length) of clean texts.
+
+    A censored maximum-likelihood fit above the median of the tops, the lengths as offset: tops of the highest ``WRONG``,
+    where labels may be wrong, only count as being that high.
+    """
+    scale = 1.0
+    for _ in range(20):
+        ys = sorted(s - math.log(n) / scale for s, n in tops)
+        low, high = ys[len(ys) // 2], ys[min(len(ys) - 1, int(len(ys) * (1 - WRONG)))]
+        above = [min(y, high) - low for y in ys if y > low]
+        whole = sum(y < high for y in ys if y > low)
+        new = max(LEAST_SCALE, min(1.0, whole / sum(above))) if above and whole else 1.0
+        if abs(new - scale) < 1e-4:
+            break
+        scale = (scale + new) / 2
+    # Of all tops the share above ``low`` is K exp(-scale low).
+    return scale, len(above) / len(ys) * math.exp(scale * low)
+
+
+class Evidence:
+    """How far the corpus bears out that a pair is toxic: abusive comments are a few, and a share of these is labelled.
+
+    Of a toxic pair's occurrences that share, ``rate``, lies in comments labelled as abusive; of a clean pair's only
+    ``rate`` times the share of abusive comments, as they hold harmless sentences too.
+    """
+
+    def __init__(self, bad: list[list[str]], good: list[list[str]], corpus: Corpus) -> None:
+        clean = {p for t in good for p in zip(t, t[1:])}
+        held: Counter = Counter()
+        for t in bad:
+            held.update(set(zip(t, t[1:])))
+        sure = sorted(held[p] / max(corpus.pairs[p], held[p]) for p in held if held[p] >= 3 and p not in clean and p in corpus.pairs)
+        self.rate = min(0.95, sure[len(sure) // 2]) if sure else 0.5
+        few = min(0.5, max(1e-3, len(bad) / self.rate / max(corpus.texts, 1)))
+        prior, seen, unseen = math.log(few / (1 - few)), math.log(1 / few), math.log((1 - self.rate) / (1 - self.rate * few))
+        self.odds = {p: max(-5.0, min(5.0, prior + n * seen + max(corpus.pairs.get(p, n) - n, 0) * unseen)) for p, n in held.items()}
+
+    def bears_out(self, passage: list[str]) -> bool:
+        odds = [self.odds.get(p, 0.0) for p in zip(passage, passage[1:])]
+        return sum(odds) >= 0
+
+
+def _fit(bad: list[list[str]], good: list[list[str]], corpus: Corpus) -> Model:
+    """Model of whole comments first, then of the passages found in the abusive ones that the corpus bears out, the rest counting as clean."""
+    model = _odds(bad, good, corpus, False)
+    evidence = Evidence(bad, good, corpus)
     for turn in range(ROUNDS):
         toxic: list[list[str]] = []
         rest = list(good)
@@ -252,40 +317,64 @@ def fit(labelled: list[tuple[str, bool]], corpus: dict[str, int], corpus_total:
             t = [model.lookup(w) for w in t]
             at = 0
             for a, b, s in segments(model.scores(t)):
-                if s >= floor:
+                if s >= floor and evidence.bears_out(t[a:b]):
                     rest.append(t[at:a])
                     toxic.append(t[a:b])
                     at = b
             rest.append(t[at:])
         if not toxic:
             break
-        model = _odds(toxic, [r for r in rest if r], corpus, corpus_total, turn > 0)
-    _calibrate(model, good)
+        model = _odds(toxic, [r for r in rest if r], corpus, turn > 0)
+    return model
+
+
+def fit(labelled: list[tuple[str, bool]], corpus: Corpus) -> Model | None:
+    """A model from (text, is abusive) rows and counts of the whole corpus, calibrated on clean texts it wasn't fitted on."""
+    folder = Folder()
+    bad = [t for x, y in labelled if y and (t := folder(x))]
+    good = [t for x, y in labelled if not y and (t := folder(x))]
+    if not bad or not good:
+        return None
+    model = _fit(bad, good, corpus)
+    tops: list[tuple[float, int]] = []
+    for k in range(FOLDS):
+        part = [[t for i, t in enumerate(ts) if i % FOLDS != k] for ts in (bad, good)]
+        if all(part):
+            other = _fit(*part, corpus)
+            tops += [(other.best(t), len(t)) for t in good[k::FOLDS]]
+    if len(tops) >= 20:
+        model.scale, model.k = tail(tops)
     return model
 
 
 # -- Spark ------------------------------------------------------------------------------------------------------------
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    folder, counts = Folder(), Counter()
+_PAIR = "\u0001"
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pydict({"token": list(counts.keys()), "n": pa.array(counts.values(), pa.int64())})
-        counts.clear()
-        return out
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(folder(text))
-        if len(counts) > _CACHE:
-            yield flush()
-    if counts:
-        yield flush()
+def _counter(wanted_var):
+    """Counts of the wanted words and pairs (joined by ``_PAIR``), of all tokens ("") and of texts (null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = wanted_var.value
+        folder, counts, paired, tokens, texts = Folder(), Counter(), Counter(), 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                t = folder(text)
+                if t:
+                    tokens += len(t)
+                    texts += 1
+                    counts.update(filter(words.__contains__, t))
+                    paired.update(filter(pairs.__contains__, zip(t, t[1:])))
+        keys = [None, "", *counts, *map(_PAIR.join, paired)]
+        yield pa.RecordBatch.from_pydict({"token": pa.array(keys, pa.string()), "n": pa.array([texts, tokens, *counts.values(), *paired.values()], pa.int64())})
+
+    return run
 
 
 def train(comments: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on a bounded sample of reviewed comments and on token counts of all comments."""
+    """Fit on a bounded sample of reviewed comments and on counts over all comments of the words and pairs in them."""
     spark = comments.sparkSession
     votes = (
         labels.filter(F.col("is_abusive").isNotNull() & F.col("comment_id").isNotNull())
@@ -310,23 +399,17 @@ def train(comments: DataFrame, labels: DataFrame) -> Model | None:
         .collect()
     )
     labelled = [(r.text, r.bad) for r in rows if r.text]
-    words = sorted({w for x, _ in labelled for w in Folder()(x)})
+    folder = Folder()
+    texts = [folder(x) for x, _ in labelled]
+    words = {w for t in texts for w in t}
     if not words:
         return None
-    counts = (
-        comments.select("comment_clean")
-        .mapInArrow(_count_tokens, "token string, n long")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
-    )
-    listed = spark.createDataFrame([(w,) for w in words], "token string")
-    total = counts.join(F.broadcast(listed).withColumn("known", F.lit(True)), "token", "left").groupBy(
-        F.when(F.col("known"), F.col("token")).alias("token")
-    ).agg(F.sum("n").alias("n"))
-    corpus = {r.token: r.n for r in total.collect()}
-    everything = sum(corpus.values())
-    corpus.pop(None, None)
-    return fit(labelled, corpus, everything)
+    # No more than the words and pairs of MAX_LABELLED texts.
+    wanted = spark.sparkContext.broadcast((words, supported_pairs(texts)))
+    counts = comments.select("comment_clean").mapInArrow(_counter(wanted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    got = {r.token: r.n for r in counts.collect()}
+    pairs = {tuple(k.split(_PAIR)): n for k, n in got.items() if k and _PAIR in k}
+    return fit(labelled, Corpus({k: n for k, n in got.items() if k and _PAIR not in k}, pairs, got[""], got[None]))
 
 
 _SCORED = "comment_id string, score double, p_value double"
@@ -369,13 +452,14 @@ def abusive(comments: DataFrame, labels: DataFrame, significance: float = SIGNIF
     )
 
 
-def scored(comments: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per comment: its best passage's score and p-value."""
+def scored(comments: DataFrame, labels: DataFrame, significance: float = SIGNIFICANCE) -> DataFrame:
+    """(comment_id, score, p_value, is_abusive): one row per comment, by its best passage."""
     return (
         score_rows(comments, train(comments, labels))
         .filter(F.col("comment_id").isNotNull())
         .groupBy("comment_id")
         .agg(F.round(F.max("score"), 4).alias("score"), F.min("p_value").alias("p_value"))
+        .withColumn("is_abusive", F.col("p_value") < significance)
     )
 
 
@@ -407,27 +491,27 @@ def rates(comments: DataFrame, labels: DataFrame, significance: float = SIGNIFIC
 
 
 def passages(comments: DataFrame, labels: DataFrame, significance: float = SIGNIFICANCE) -> DataFrame:
-    """(comment_id, passage_no, score, p_value, passage): every significant passage, as folded tokens."""
+    """(comment_id, passage_no, start_char, end_char, score, p_value, passage): every significant passage, as it stands in the text."""
     var = comments.sparkSession.sparkContext.broadcast(train(comments, labels))
+    types = {"comment_id": pa.string(), "passage_no": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "score": pa.float64(), "p_value": pa.float64(), "passage": pa.string()}
+    schema = pa.schema(list(types.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, folder = var.value, Folder()
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = folder(text)
+                tokens, at = folder.spans(text)
                 if not model or key is None or model.p_value(model.best(tokens), len(tokens)) >= significance:
                     continue
-                good = [x for x in segments(model.scores(tokens)) if model.p_value(x[2], len(tokens)) < significance]
-                rows += [
-                    {"comment_id": key, "passage_no": n, "score": round(s, 4), "p_value": model.p_value(s, len(tokens)), "passage": " ".join(tokens[a:b])}
-                    for n, (a, b, s) in enumerate(good, 1)
-                ]
+                good = [(a, b, s, p) for a, b, s in segments(model.scores(tokens)) if (p := model.p_value(s, len(tokens))) < significance]
+                for n, (a, b, s, p) in enumerate(good, 1):
+                    start, end = at[a][0], at[b - 1][1]
+                    rows.append(dict(zip(types, (key, n, start, end, round(s, 4), p, text[start:end]))))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("comment_id", pa.string()), ("passage_no", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64()), ("passage", pa.string())])
     return (
         comments.select("comment_id", "comment_clean")
-        .mapInArrow(run, "comment_id string, passage_no int, score double, p_value double, passage string")
+        .mapInArrow(run, "comment_id string, passage_no int, start_char int, end_char int, score double, p_value double, passage string")
         .distinct()
     )
