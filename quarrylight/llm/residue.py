@@ -5,8 +5,8 @@ placeholder syntax; a linear classifier with L2 penalty over hashed character an
 word n-grams, length and title features learns from them on a bounded sample of
 pages (``MAX_PAGES``, by hash of the id) and scores every sentence of every page.
 A second one tells demands for scripts from the rest.  High probabilities decide
-alone, also beside a story; lower ones are confirmed by exact forms.  It is validated on hosts that it never saw (``validation``).  A page is found when
-a sentence is residue; a demand for scripts or a wait-here notice counts only
+alone, also beside a story; lower ones are confirmed by exact forms.  It is
+validated on hosts that it never saw (``validation``).  A page is found when a sentence is residue; a demand for scripts or a wait-here notice counts only
 where the page holds no story beside it.
 
 Defined results: null and blank texts are never found; a repeated ``article_id``
@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,26 +91,42 @@ LIKELY, ALONE = 0.5, 0.9
 _LETTERS = re.compile(r"[^\W\d_]{2}|[^\x00-\u02ff\W\d_]")
 
 
+@lru_cache(maxsize=64)
+def _title_words(title: str | None) -> frozenset[str]:
+    return frozenset((title or "").lower().split())
+
+
 def title_class(sentence: str, title: str | None) -> tuple[int, bool]:
     """How many words the sentence shares with the title, 4 at most, and whether there is no title."""
-    title_words = set((title or "").lower().split())
-    return min(len(title_words & set(sentence.lower().split())), 4), not title_words
+    known = _title_words(title)
+    return min(len(known.intersection(sentence.lower().split())) if known else 0, 4), not known
+
+
+#: Multipliers of the five bytes of an n-gram, and the one that mixes the sum (odd 32-bit numbers).
+_BYTE, _MIX = np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x9E3779B1], np.uint32), np.uint32(0x9E3779B1)
 
 
 def features(sentence: str, title: str | None) -> np.ndarray:
-    """Hashed feature numbers: character 3- to 5-grams, words and word pairs, length and title classes."""
+    """Hashed feature numbers, sorted: character 3- to 5-grams, words and word pairs, length and title classes."""
+    shared, untitled = title_class(sentence, title)
+    return _features(sentence, shared, untitled)
+
+
+def _features(sentence: str, shared: int, untitled: bool) -> np.ndarray:
     low = f" {sentence.lower()} "
-    raw = low.encode()
-    mask = (1 << BITS) - 1
-    got = {zlib.crc32(raw[i : i + n], n) & mask for n in (3, 4, 5) for i in range(len(raw) - n + 1)}
+    raw = np.frombuffer(low.encode(), np.uint8).astype(np.uint32)
+    grams, total = [], raw[:-1] * _BYTE[0] + raw[1:] * _BYTE[1]
+    for n in (3, 4, 5):
+        total = total[:-1] + raw[n - 1 :] * _BYTE[n - 1]
+        grams.append(((total + np.uint32(n)) * _MIX) >> np.uint32(32 - BITS))
     words = low.split()
-    got |= {zlib.crc32(w.encode(), 11) & mask for w in words}
-    got |= {zlib.crc32(f"{a} {b}".encode(), 12) & mask for a, b in zip(words, words[1:])}
-    shared, untitled = title_class(sentence, title)
     ends = sentence[-1:] if not sentence[-1:].isalnum() else "a"
-    for k in (f"len{min(len(words), 40) // 4}", f"title{shared}", f"notitle{untitled}", f"end{ends}", f"upper{sentence[:1].isupper()}"):
-        got.add(zlib.crc32(k.encode(), 13) & mask)
-    return np.fromiter(got, np.int32, len(got))
+    mask = (1 << BITS) - 1
+    rest = [zlib.crc32(w.encode(), 11) & mask for w in words]
+    rest += [zlib.crc32(f"{a} {b}".encode(), 12) & mask for a, b in zip(words, words[1:])]
+    classes = (f"len{min(len(words), 40) // 4}", f"title{shared}", f"notitle{untitled}", f"end{ends}", f"upper{sentence[:1].isupper()}")
+    rest += [zlib.crc32(k.encode(), 13) & mask for k in classes]
+    return np.unique(np.concatenate([*grams, np.array(rest, np.uint32)])).astype(np.int32)
 
 
 class Classifier:
@@ -120,9 +137,13 @@ class Classifier:
         self.bias = 0.0
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Classifier:
+        scale = 1 / np.sqrt([len(r) for r in rows])
+        # What only one row has can't generalise; its weight stays 0.
+        shared = np.bincount(np.concatenate(rows), minlength=1 << BITS) > 1
+        shared[rows[0][0]] = True  # no row may be left empty
+        rows = [k if len(k := r[shared[r]]) else rows[0][:1] for r in rows]
         sizes = np.array([len(r) for r in rows])
         index, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        scale = (1 / np.sqrt(sizes)).astype(np.float32)
         per = np.repeat(np.arange(len(rows)), sizes)
         w, b = np.zeros(1 << BITS, np.float64), 0.0
         grown = np.full(1 << BITS, 1e-8)
@@ -165,35 +186,50 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, often: np.ndarray) -> Class
     return Classifier().fit(rows, labels.astype(float), weights)
 
 
-def _examples(pages: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct sentence shapes of (text, title, domain) rows by title class, their weak labels, and roots of their counts."""
-    seen: dict[tuple, tuple[np.ndarray, int]] = {}
+def _examples(pages: Iterator[tuple[str, str | None]]) -> Counter:
+    """(shape, words shared with the title, untitled, weak label) of the sentences of (text, title) pages, with counts."""
     times: Counter = Counter()
-    for text, title, _ in pages:
+    for text, title in pages:
         for s in sentences(text):
             k = shape(s)
-            key = k, title_class(k, title)
-            times[key] += 1
-            if key not in seen:
-                seen[key] = features(k, title), weak_label(s)
-    return [x for x, _ in seen.values()], np.array([y for _, y in seen.values()], int), np.sqrt([times[k] for k in seen])
+            times[k, *title_class(k, title), weak_label(s)] += 1
+    return times
 
 
-def _sample(articles: DataFrame) -> list[tuple]:
-    rows = (
-        articles.select("article_id", "article_text", "title", "domain")
-        .filter(F.col("article_text").isNotNull() & F.col("article_id").isNotNull())
-        .select(F.xxhash64("article_id").alias("h"), "article_id", "article_text", "title", "domain")
-        .orderBy("h", "article_id")
-        .limit(MAX_PAGES)
-        .collect()
-    )
-    return [(r.article_text, r.title, r.domain) for r in rows]
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = _examples(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        columns = [pa.array([k[i] for k in got], t) for i, t in enumerate((pa.string(), pa.int32(), pa.bool_(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(got.values(), pa.int64())], ["shape", "shared", "untitled", "label", "n"])
+
+
+def model_of(examples: Counter) -> Model | None:
+    """The classifiers of ``_examples``; a shape is affected by the label of most of its sentences."""
+    best: dict[tuple, tuple[int, int]] = {}
+    for (*k, label), n in examples.items():
+        key = tuple(k)
+        best[key] = max(best.get(key, (0, 0)), (n, label))
+    order = sorted(best)
+    kinds, often = np.array([best[k][1] for k in order], int), np.sqrt([best[k][0] for k in order])
+    if len(set(kinds > 0)) < 2:
+        return None
+    return Model([_features(*k) for k in order], kinds, often)
 
 
 def train(articles: DataFrame) -> Model | None:
-    rows, kinds, often = _examples(_sample(articles))
-    return Model(rows, kinds, often) if len(set(kinds > 0)) == 2 else None
+    """Fit on a sample of ``MAX_PAGES`` pages by hash; workers reduce them to distinct shapes, which come to the driver."""
+    usable = articles.filter(F.col("article_text").isNotNull() & F.col("article_id").isNotNull())
+    # At most MAX_PAGES ids.
+    chosen = usable.select(F.xxhash64("article_id").alias("h"), F.col("article_id").alias("chosen")).distinct().orderBy("h", "chosen").limit(MAX_PAGES)
+    pages = usable.join(F.broadcast(chosen), F.col("article_id") == F.col("chosen"), "left_semi")
+    rows = (
+        pages.select("article_text", "title")
+        .mapInArrow(_shapes, "shape string, shared int, untitled boolean, label int, n long")
+        .groupBy("shape", "shared", "untitled", "label")
+        .agg(F.sum("n").alias("n"))
+        .collect()
+    )
+    return model_of(Counter({(r.shape, r.shared, r.untitled, r.label): r.n for r in rows}))
 
 
 def is_story(sentence: str) -> bool:
