@@ -7,8 +7,8 @@ statistics each period is classified; marks that are unambiguous, quotations,
 brackets, lists, headings and wrapped lines follow rules on the text itself.
 
 Counts are merged per batch in the workers and added by one aggregation; only
-the significant types come back to the driver (``MAX_TYPES`` per kind and
-language at most, best first), so the model doesn't grow with the corpus.
+significant types that make up one in ``RAREST`` counts of their kind come back to
+the driver, so their number is bounded whatever the corpus.
 
 Defined results: null and blank texts, and texts of invisible characters only,
 have no units; offsets are code points of the raw text, end exclusive; a repeated
@@ -24,14 +24,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import cut
 
-MAX_TYPES = 5_000
+#: A type must make up one in so many counts of its kind, so there are at most this many of each, whatever the corpus.
+RAREST = 1_000_000
 #: Log-likelihood ratio at which a type counts (chi-square with one degree of freedom, p < 0.001).
 SIGNIFICANT = 10.83
+#: How many times as often as it starts sentences a word must follow another one over a period to belong to it.
+LIFT = 10
 
 #: Names of languages in other codes.
 _CODES = {"eng": "en", "ger": "de", "deu": "de", "cn": "zh", "chi": "zh", "zho": "zh", "fre": "fr", "fra": "fr", "spa": "es", "jpn": "ja", "kor": "ko", "rus": "ru", "ara": "ar", "hin": "hi", "tha": "th"}
@@ -50,7 +53,7 @@ _WIDE = "　-ヿ㐀-鿿＀-￯"
 _OPEN = {'“': '”', '„': '“', '«': '»', '「': '」', '『': '』', '（': '）', '(': ')', '[': ']', '‹': '›', '《': '》', '【': '】'}
 _CLOSERS = "\"'”’“»›」』）)\\]》】"
 _END = re.compile(rf"[.!?…。！？।؟۔]+[{_CLOSERS}]*(?:[   ][»])?")
-_WORD_BEFORE = re.compile(r"[^\s\"“”„«»()\[\]{}<>（）「」『』,;:!?。！？—–/]+$")
+_NOT_IN_WORD = re.compile(r"[\s\"“”„«»()\[\]{}<>（）「」『』,;:!?。！？—–/]")
 _NEXT = re.compile(r"[\"'“„«‹「『(\[（¿¡\s  -]*([^\s\"“”„«»()\[\]<>（）「」『』,;:!?。！？।؟…]+)")
 _TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{}<>（）「」『』,;:]+")
 _NUMBER = re.compile(r"[\d.,:/$%€£+-]*\d[\d.,:/%]*")
@@ -67,7 +70,7 @@ def _type(word: str) -> str:
 def count_text(text: str, lang: str, out: Counter) -> None:
     """Adds (kind, language, a, b): n of one text.
 
-    w: word without period; p: word with period, b is what follows (lower, digit, upper, none); f: word right after a
+    w: word without period; p: word with period, b is what follows (lower, digit, upper, caseless, none); f: word right after a
     certain break, m: capitalised word elsewhere, l: lower-case word; c: pair of a word with period and a capitalised word.
     """
     sure, dotted = True, ""
@@ -80,7 +83,7 @@ def count_text(text: str, lang: str, out: Counter) -> None:
                 sure, dotted = w[-1:] in "!?।؟", ""
                 continue
             upper = bare[:1].isupper()
-            follows = "upper" if upper else ("digit" if bare[:1].isdigit() or bare[0] in "$§#" else "lower")
+            follows = "upper" if upper else ("digit" if bare[:1].isdigit() or bare[0] in "$§#" else "lower" if bare[0].islower() else "caseless")
             t = _type(bare)
             if dotted:
                 out["p", lang, dotted, follows] += 1
@@ -88,7 +91,7 @@ def count_text(text: str, lang: str, out: Counter) -> None:
                     out["c", lang, dotted, t] += 1
             if upper:
                 out["f" if sure else "m", lang, t, ""] += dotted != "##"
-            elif follows == "lower":
+            elif follows != "digit":
                 out["l", lang, t, ""] += 1
             end = w[len(w.rstrip(".!?…।؟'’")) :]
             if end.startswith(".") and not end.startswith("..") and "!" not in end and "?" not in end:
@@ -170,24 +173,20 @@ def learn(documents: DataFrame) -> Statistics:
     counted = cut(counted)
     both = counted.unionByName(counted.withColumn("lang", F.lit(""))).groupBy("kind", "lang", "a", "b").agg(F.sum("n").alias("n"))
     both = cut(both)
-
-    def top(df: DataFrame, *keys: str) -> set:
-        w = Window.partitionBy("lang").orderBy(F.desc("score"), *keys)
-        # Rows here have passed the significance test already; the bound only guards against degenerate corpora.
-        got = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MAX_TYPES).select("lang", *keys).collect()
-        return {tuple(r) for r in got}
-
-    # Starters: more often right after certain breaks than capitalised elsewhere, against the mean of the language.
-    s = both.filter("kind in ('f', 'm')").groupBy("lang", "a").agg(
-        F.sum(F.when(F.col("kind") == "f", F.col("n")).otherwise(0)).alias("f"), F.sum("n").alias("n")
-    )
-    all_s = s.groupBy("lang").agg(F.sum("f").alias("all_f"), F.sum("n").alias("all_n"))
-    starters = (
-        s.join(F.broadcast(all_s), "lang")
-        .withColumn("score", _llr(F.col("f"), F.col("n"), F.greatest(F.col("all_f") - F.col("f"), F.lit(0)), F.greatest(F.col("all_n") - F.col("n"), F.lit(1))))
-        .filter((F.col("f") >= 3) & (F.col("f") >= 0.6 * F.col("n")) & ((F.col("score") > -SIGNIFICANT) | (F.col("f") >= 0.9 * F.col("n"))))
-    )
-    starter_set = top(starters, "a")
+    totals = {(r.kind, r.lang): r.n for r in both.filter("lang = ''").groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
+    least = {k: max(3, -(-totals.get((k, ""), 0) // RAREST)) for k in "fpc"}
+    of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
+
+    # Starters: capitalised mostly right after certain breaks, and significantly more so than capitals on the whole, or a
+    # significantly larger share of the words there than of all words.
+    s = both.filter("kind in ('f', 'm', 'l')").groupBy("lang", "a").agg(of("f").alias("f"), of("f", "m").alias("capital"), F.sum("n").alias("n"))
+    all_s = s.groupBy("lang").agg(F.sum("f").alias("all_f"), F.sum("capital").alias("all_capital"), F.sum("n").alias("all_n"))
+    s = s.join(F.broadcast(all_s), "lang")
+    elsewhere = F.greatest(F.col("all_n") - F.col("all_f"), F.lit(1))
+    others = F.greatest(F.col("all_capital") - F.col("capital"), F.lit(1))
+    by_case = _llr(F.col("f"), F.col("capital"), F.col("all_f") - F.col("f"), others)
+    by_place = _llr(F.col("f"), F.col("all_f"), F.col("n") - F.col("f"), elsewhere)
+    starters = s.filter((F.col("f") >= least["f"]) & (F.col("f") >= 0.6 * F.col("capital"))).filter(F.greatest(by_case, by_place) > SIGNIFICANT)
 
     # Abbreviations: with a period far more often than words are on the whole, and not followed like a sentence's last word.
     pairs = both.filter("kind = 'c'")
@@ -195,11 +194,13 @@ def learn(documents: DataFrame) -> Statistics:
     begun = pairs.join(known, ["lang", "b"], "left").groupBy("lang", "a").agg(
         F.sum(F.when(F.col("starts").isNull(), F.col("n")).otherwise(0)).alias("named")
     )
+    follows = lambda *b: F.sum(F.when((F.col("kind") == "p") & F.col("b").isin(*b), F.col("n")).otherwise(0))
     per = both.filter("kind in ('w', 'p')").groupBy("lang", "a").agg(
-        F.sum(F.when(F.col("kind") == "p", F.col("n")).otherwise(0)).alias("p"),
-        F.sum(F.when((F.col("kind") == "p") & (F.col("b") != "none"), F.col("n")).otherwise(0)).alias("followed"),
-        F.sum(F.when((F.col("kind") == "p") & F.col("b").isin("lower", "digit"), F.col("n")).otherwise(0)).alias("goes_on"),
-        F.sum(F.when((F.col("kind") == "p") & (F.col("b") == "digit"), F.col("n")).otherwise(0)).alias("digit"),
+        of("p").alias("p"),
+        follows("lower", "digit", "upper", "caseless").alias("followed"),
+        follows("lower", "digit").alias("goes_on"),
+        follows("caseless").alias("caseless"),
+        follows("digit").alias("digit"),
         F.sum("n").alias("n"),
     )
     all_p = per.groupBy("lang").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
@@ -208,28 +209,42 @@ def learn(documents: DataFrame) -> Statistics:
         "score", _llr(F.col("p"), F.col("n"), F.greatest(F.col("all_p") - F.col("p"), F.lit(0)), F.greatest(F.col("all_n") - F.col("n"), F.lit(1)))
     )
     inner = F.col("a").rlike(r"[\p{L}]\.[\p{L}]")
-    on = (F.col("goes_on") + F.col("named")) / F.greatest(F.col("followed"), F.lit(1))
+    script = F.col("a").rlike(f"[{_CASELESS}]")
+    # What follows without case only says something about words of such a script.
+    on = (F.col("goes_on") + F.when(script, F.col("caseless")).otherwise(0) + F.col("named")) / F.greatest(F.col("followed"), F.lit(1))
+    long = F.length("a")
     abbreviations = per.filter(
         (F.col("a") != "##")
         & F.col("a").rlike(r"^[\p{L}\p{M}][\p{L}\p{M}.]*$")
         # Without capitals only very short words can be told from a sentence's last word.
-        & (~F.col("a").rlike(f"[{_CASELESS}]") | F.col("a").rlike(r"^[\u0600-\u06ff]{1,2}$|^[\u0900-\u097f]{1,3}$"))
-        & (F.length("a") <= 8)
-        & (F.col("p") >= 2)
+        & (~script | F.col("a").rlike(r"^[\u0600-\u06ff]{1,2}$|^[\u0900-\u097f]{1,3}$"))
+        & (F.col("p") >= least["p"] - 1)
         & (F.col("p") >= 0.8 * F.col("n"))
         & ((F.col("score") > SIGNIFICANT) | inner)
-        & (inner | (on >= F.when(F.length("a") <= 3, 0.3).otherwise(0.6)))
+        # The longer a word, the more it must look like an abbreviation by what follows it.
+        & (inner | (on >= F.when(long <= 3, 0.3).when(long <= 8, 0.6).otherwise(0.9)))
     )
-    numbered = per.filter((F.col("a") != "##") & (F.col("digit") >= 3) & (F.col("digit") >= 0.5 * F.col("followed")) & (F.length("a") <= 6))
+    numbered = per.filter((F.col("a") != "##") & (F.col("digit") >= least["p"]) & (F.col("digit") >= 0.5 * F.col("followed")))
 
-    # Pairs over a number's period, such as a day and its month: most of the word's capitals stand right behind a number.
-    cap = both.filter("kind in ('f', 'm')").groupBy("lang", F.col("a").alias("b")).agg(F.sum("n").alias("elsewhere"))
+    # Collocations: behind a number, an initial or an abbreviation, a word that follows it far more often than it starts sentences.
+    short = abbreviations.select("lang", "a", F.lit(True).alias("short"))
+    starts = s.select("lang", F.col("a").alias("b"), F.col("f").alias("b_first"))
+    dots = pairs.groupBy("lang", "a").agg(F.sum("n").alias("a_n"))
     held = (
-        pairs.filter("a = '##'").join(cap, ["lang", "b"], "left")
-        .withColumn("score", F.col("n").cast("double"))
-        .filter((F.col("n") >= 3) & (F.col("n") >= 2 * F.coalesce("elsewhere", F.lit(0))))
+        pairs.join(short, ["lang", "a"], "left")
+        .filter(((F.col("a") == "##") | (F.length("a") == 1) | F.col("short")) & (F.col("n") >= least["c"]))
+        .join(dots, ["lang", "a"])
+        .join(starts, ["lang", "b"], "left")
+        .join(F.broadcast(all_s), "lang")
+        .withColumn("b_first", F.coalesce("b_first", F.lit(0)))
+        .filter(_llr(F.col("n"), F.col("a_n"), F.col("b_first"), F.greatest(F.col("all_f"), F.lit(1))) > SIGNIFICANT)
+        .filter(F.col("n") * F.col("all_f") >= LIFT * F.col("b_first") * F.col("a_n"))
     )
-    return Statistics(top(abbreviations, "a"), starter_set, top(held, "a", "b"), top(numbered, "a"))
+
+    def rows(df: DataFrame, *keys: str) -> set:
+        return {tuple(r) for r in df.select("lang", *keys).collect()}
+
+    return Statistics(rows(abbreviations, "a"), rows(starters, "a"), rows(held, "a", "b"), rows(numbered, "a"))
 
 
 # -- splitting --------------------------------------------------------------------------------------------------------
@@ -331,13 +346,16 @@ def _continues(text: str, line: tuple[int, int], after: tuple[int, int], wrapped
     return full and 45 <= len(this) <= 100 and (first.isdigit() or first in "$§€£(")
 
 
+_MARKS = re.compile("[" + re.escape('"' + "".join(_OPEN) + "".join(_OPEN.values()) + ")]") + "]")
+
+
 def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Matched quotations and brackets inside [a, b), as positions of the opening and closing mark."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     straight = -1
-    for i in range(a, b):
-        c = text[i]
+    for m in _MARKS.finditer(text, a, b):
+        c, i = m[0], m.start()
         if c == '"':
             if straight >= 0:
                 out.append((straight, i))
@@ -441,15 +459,19 @@ def _breaks(text: str, i: int, end: int, mark: str, b: int, lang: str, stats: St
     # A single period.
     if lower:
         return False
-    found = _WORD_BEFORE.search(text, max(0, i - 40), i)
-    if not found:
+    at = i
+    while at > 0 and not _NOT_IN_WORD.match(text, at - 1):
+        at -= 1
+    if at == i:
         # A period behind a closing mark or blank; digits right behind it are a decimal.
         return text[i - 1 : i] != " " or not word[:1].isdigit()
-    before = found[0].lstrip("'’*_-¿¡")
+    before = text[at:i].lstrip("'’*_-¿¡")
     t = _type(before.rstrip("."))
     nxt = _type(word.rstrip(".'’"))
+    if stats.has("pairs", lang, t, nxt):
+        return False
     if t == "##":
-        return not stats.has("pairs", lang, "##", nxt)
+        return True
     starts = stats.has("starters", lang, nxt)
     if word[:1].isdigit() or word[:1] in "$§#€£":
         return not (stats.has("numbered", lang, t) or stats.has("abbreviations", lang, t) or (len(t) == 1 and t.isalpha()))
@@ -479,6 +501,9 @@ def _thai(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     yield start, b
 
 
+_THAI = re.compile("[ก-๛]")
+
+
 def units(text: str | None, lang: str | None, stats: Statistics) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit."""
     if not text:
@@ -487,7 +512,7 @@ def units(text: str | None, lang: str | None, stats: Statistics) -> list[tuple[i
     out: list[tuple[int, int]] = []
     for a, b in _blocks(text):
         for s, e in _sentences(text, a, b, code, stats):
-            thai = sum("ก" <= c <= "๛" for c in text[s:e])
+            thai = len(_THAI.findall(text, s, e)) if _THAI.search(text, s, e) else 0
             for x, y in _thai(text, s, e) if thai * 2 > e - s else ((s, e),):
                 x = _first(text, x, y)
                 m = _EDGE_RIGHT.search(text, x, y)
