@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.llm.common import cut
+
 BLOCK_S = 600.0
 _LATE = 1.0e12
 
@@ -122,8 +124,12 @@ def clean_speech(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+([,.;:!?])", "$1"), r"\s+", " "))
 
 
-def speech_pieces(segments: DataFrame, speakers: DataFrame) -> DataFrame:
-    """(video_id, block, segment_id, start_s, pos, speaker_no, toggle, spoken, speech): a row per labelled remark or unlabelled rest."""
+def speech_pieces(segments: DataFrame, speakers: DataFrame, with_text: bool = True) -> DataFrame:
+    """(video_id, block, segment_id, start_s, pos, speaker_no, toggle, spoken, one, two[, speech]): a row per labelled remark or unlabelled rest.
+
+    ``one`` and ``two`` are the lowest numbers of the video's persons.  Labels are resolved once per block and label, not
+    per remark; without text only numbers move.
+    """
     text = F.trim(F.regexp_replace("text", TIME_MARKS, " "))
     marked = F.regexp_replace(text, f"({LABEL})", f"{_OPEN}$1{_SHUT}")
     start = F.coalesce(F.when(~F.isnan("start_s"), F.col("start_s")), F.lit(_LATE))
@@ -134,80 +140,72 @@ def speech_pieces(segments: DataFrame, speakers: DataFrame) -> DataFrame:
         .repartition("video_id", "block")
         .dropDuplicates(["video_id", "block", "segment_id"])
     )
-    part = F.col("part")
-    pieces = segs.select(
-        "video_id", "block", "segment_id", "start_s", F.posexplode(F.split(marked, _OPEN)).alias("pos", "part")
-    ).select(
-        "video_id",
-        "block",
-        "segment_id",
-        "start_s",
-        "pos",
-        F.when(part.contains(_SHUT), F.substring_index(part, _SHUT, 1)).alias("label"),
-        F.when(part.contains(_SHUT), F.substring_index(part, _SHUT, -1)).otherwise(part).alias("rest"),
-    )
-    pieces = pieces.join(_people(speakers), "video_id", "left")
+    part, at = F.col("part"), ["video_id", "block", "segment_id", "start_s", "pos"]
+    label = F.when(part.contains(_SHUT), F.substring_index(part, _SHUT, 1))
+    rest = F.when(part.contains(_SHUT), F.substring_index(part, _SHUT, -1)).otherwise(part)
+    pieces = segs.select(*at[:-1], F.posexplode(F.split(marked, _OPEN)).alias("pos", "part")).select(*at, label.alias("label"), rest.alias("rest"))
     key = _label_key(F.col("label"))
-    pieces = pieces.withColumn("who", F.when(F.col("label").isNotNull(), _resolve(F.col("people"), key)))
+    # A label that names nobody is speech; so both readings are tested for words.
+    kept = F.concat(F.regexp_replace("label", r"^>>+\s*", ""), F.col("rest"))
+    pieces = cut(
+        pieces.select(
+            *at,
+            F.when(F.col("label").isNotNull(), key).alias("key"),
+            F.coalesce(F.col("label").startswith(">>"), F.lit(False)).alias("chevrons"),
+            F.coalesce(F.col("label").startswith("["), F.lit(False)).alias("bracket"),
+            _has_words(F.col("rest")).alias("rest_spoken"),
+            F.when(F.col("label").isNotNull(), _has_words(kept)).alias("all_spoken"),
+            (F.trim("rest") == "").alias("bare"),
+            *([F.col("rest"), kept.alias("kept")] if with_text else []),
+        )
+    )
+    people = _people(speakers)
+    labels = pieces.filter("key is not null").select("video_id", "block", "key").distinct().join(people, "video_id")
+    labels = labels.select("video_id", "block", "key", _resolve(F.col("people"), F.col("key")).alias("who")).filter("who is not null")
+    nos = F.transform("people", lambda p: p["speaker_no"])
+    persons = people.select("video_id", F.size("people").alias("persons"), nos[0].alias("one"), F.try_element_at(nos, F.lit(2)).alias("two"))
+    pieces = pieces.join(labels, ["video_id", "block", "key"], "left").join(persons, "video_id", "left")
     # Words that the pattern took before the name end the speech before it.
-    ahead = F.when(
-        F.col("who").isNotNull() & (F.size(F.split(key, " ")) > F.col("who.n")),
-        F.array_join(F.slice(F.split(key, " "), F.lit(1), F.size(F.split(key, " ")) - F.col("who.n")), " "),
-    ).otherwise("")
-    none = F.lit(None)
-    pieces = pieces.select(
-        "video_id",
-        "block",
-        "segment_id",
-        "start_s",
-        "people",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(
-                        (F.col("pos") * 2).alias("pos"),
-                        none.cast("string").alias("label"),
-                        ahead.alias("rest"),
-                        none.cast("int").alias("speaker_no"),
-                    ),
-                    F.struct((F.col("pos") * 2 + 1).alias("pos"), "label", "rest", F.col("who.no").alias("speaker_no")),
-                ),
-                lambda x: x["label"].isNotNull() | (x["rest"] != ""),
-            )
-        ).alias("piece"),
-    ).select("video_id", "block", "segment_id", "start_s", "people", "piece.*")
-    named = F.col("speaker_no").isNotNull()
-    chevrons = F.coalesce(F.col("label").startswith(">>"), F.lit(False))
-    single = F.size("people") == 1
-    speech = F.when(named | F.col("label").isNull(), F.col("rest")).otherwise(
-        F.concat(F.regexp_replace("label", r"^>>+\s*", ""), "rest")
+    words = F.split("key", " ")
+    before = F.when(F.col("who").isNotNull() & (F.size(words) > F.col("who.n")), F.array_join(F.slice(words, F.lit(1), F.size(words) - F.col("who.n")), " ")).otherwise("")
+    named = F.col("who").isNotNull()
+    of_rest = named | F.col("key").isNull()
+    speech = F.when(of_rest, F.col("rest")).otherwise(F.col("kept")) if with_text else F.lit(None).cast("string")
+    spoken = F.when(of_rest, F.col("rest_spoken")).otherwise(F.col("all_spoken"))
+    ahead = F.struct(
+        (F.col("pos") * 2).alias("pos"),
+        F.lit(None).cast("int").alias("no"),
+        _has_words(before).alias("spoken"),
+        F.lit(0).alias("toggle"),
+        F.lit(False).alias("names"),
+        (before if with_text else F.lit(None).cast("string")).alias("speech"),
     )
-    bracket = F.coalesce(F.col("label").startswith("["), F.lit(False)) & ~named
-    return (
-        pieces.withColumn("speech", speech)
-        .withColumn("spoken", _has_words(F.col("speech")))
-        .withColumn("toggle", (chevrons & ~named & (F.size("people") == 2)).cast("int"))
-        .withColumn("speaker_no", F.when(single, F.col("people")[0]["speaker_no"]).otherwise(F.col("speaker_no")))
+    remark = F.struct(
+        (F.col("pos") * 2 + 1).alias("pos"),
+        F.col("who.no").alias("no"),
+        spoken.alias("spoken"),
+        (F.col("chevrons") & ~named & (F.coalesce("persons", F.lit(0)) == 2)).cast("int").alias("toggle"),
         # A label with nothing at all behind it still names who speaks next; one before mere noise doesn't count.
-        .filter(F.col("spoken") | (named & ~bracket & (F.trim("rest") == "")))
-        .select(
-            "video_id",
-            "block",
-            "segment_id",
-            "start_s",
-            "pos",
-            "speaker_no",
-            "toggle",
-            "spoken",
-            "speech",
-            F.coalesce(F.transform("people", lambda p: p["speaker_no"]), F.array().cast("array<int>")).alias("nos"),
-        )
+        (named & F.col("bare")).alias("names"),
+        speech.alias("speech"),
+    )
+    pieces = pieces.select(*at[:-1], "persons", "one", "two", F.explode(F.filter(F.array(ahead, remark), lambda x: x["spoken"] | x["names"])).alias("piece"))
+    single = F.col("persons") == 1
+    return pieces.select(
+        *at[:-1],
+        F.col("piece.pos").alias("pos"),
+        F.when(single, F.col("one")).otherwise(F.col("piece.no")).alias("speaker_no"),
+        F.col("piece.toggle").alias("toggle"),
+        F.col("piece.spoken").alias("spoken"),
+        "one",
+        "two",
+        *([F.col("piece.speech").alias("speech")] if with_text else []),
     )
 
 
-def attributed(segments: DataFrame, speakers: DataFrame) -> DataFrame:
+def attributed(segments: DataFrame, speakers: DataFrame, with_text: bool = True) -> DataFrame:
     """Spoken pieces with the person who speaks and the number of their turn in the video."""
-    pieces = speech_pieces(segments, speakers)
+    pieces = cut(speech_pieces(segments, speakers, with_text))
     inside = Window.partitionBy("video_id", "block").orderBy("start_s", "segment_id", "pos")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = pieces.withColumn("t", F.sum("toggle").over(upto)).withColumn(
@@ -233,9 +231,9 @@ def attributed(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     ).select("video_id", "block", "t0", "base0")
 
     pieces = pieces.join(blocks, ["video_id", "block"])
-    known = F.coalesce(F.col("base.speaker_no"), F.col("base0.speaker_no"), F.array_min("nos"))
+    known = F.coalesce(F.col("base.speaker_no"), F.col("base0.speaker_no"), F.col("one"))
     flips = F.col("t0") + F.col("t") - F.coalesce(F.col("t0") + F.col("base.t"), F.col("base0.t"), F.lit(0))
-    other = F.filter("nos", lambda n: n != known)[0]
+    other = F.when(known != F.col("one"), F.col("one")).otherwise(F.col("two"))
     pieces = pieces.withColumn("who", F.when(flips % 2 == 1, F.coalesce(other, known)).otherwise(known)).filter("spoken")
 
     # Gaps and islands in two levels: inside the block, then over block borders.
@@ -264,7 +262,7 @@ def attributed(segments: DataFrame, speakers: DataFrame) -> DataFrame:
             "start_s",
             "pos",
             F.col("who").cast("int").alias("speaker_no"),
-            "speech",
+            *(["speech"] if with_text else []),
             (F.col("turn0") + F.col("local")).alias("turn_no"),
         )
     )
@@ -274,7 +272,7 @@ def turns(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     """(video_id, turn_no, first_segment_id, last_segment_id, speaker_no)."""
     at = F.struct("start_s", "segment_id", "pos")
     return (
-        attributed(segments, speakers)
+        attributed(segments, speakers, with_text=False)
         .groupBy("video_id", "turn_no")
         .agg(
             F.min_by("segment_id", at).alias("first_segment_id"),
