@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,16 +76,12 @@ def count_text(text: str, lang: str, out: Counter) -> None:
     """
     sure, dotted = True, ""
     for line in text.splitlines():
-        words = _TOKEN.findall(line)
-        for w in words:
-            core = w.strip("'’…!?。！？।؟")
-            bare = core.rstrip(".")
-            if not bare:
-                sure, dotted = w[-1:] in "!?।؟", ""
+        for w in _TOKEN.findall(line):
+            t, follows, ends, closes = _word(w)
+            if not t:
+                sure, dotted = closes, ""
                 continue
-            upper = bare[:1].isupper()
-            follows = "upper" if upper else ("digit" if bare[:1].isdigit() or bare[0] in "$§#" else "lower" if bare[0].islower() else "caseless")
-            t = _type(bare)
+            upper = follows == "upper"
             if dotted:
                 out["p", lang, dotted, follows] += 1
                 if upper:
@@ -93,20 +90,32 @@ def count_text(text: str, lang: str, out: Counter) -> None:
                 out["f" if sure else "m", lang, t, ""] += dotted != "##"
             elif follows != "digit":
                 out["l", lang, t, ""] += 1
-            end = w[len(w.rstrip(".!?…।؟'’")) :]
-            if end.startswith(".") and not end.startswith("..") and "!" not in end and "?" not in end:
+            if ends:
                 dotted = t
-                # Surely a break: a word of four letters or more that isn't capitalised and has no period inside.
-                sure = len(t) >= 4 and "." not in t and bare.islower() and bare.isalpha()
             else:
                 out["w", lang, t, ""] += 1
                 dotted = ""
-                sure = bool(end) and end[0] in "!?।؟"
+            sure = closes
         if dotted:
             out["p", lang, dotted, "none"] += 1
         dotted, sure = "", True
 
 
+@lru_cache(maxsize=200_000)
+def _word(w: str) -> tuple[str, str, bool, bool]:
+    """(type, what it is to the word before, whether a single period ends it, whether a sentence surely ends with it); no type for marks alone."""
+    bare = w.strip("'’…!?。！？।؟").rstrip(".")
+    if not bare:
+        return "", "", False, w[-1:] in "!?।؟"
+    t, first = _type(bare), bare[0]
+    follows = "upper" if first.isupper() else "digit" if first.isdigit() or first in "$§#" else "lower" if first.islower() else "caseless"
+    end = w[len(w.rstrip(".!?…।؟'’")) :]
+    if end.startswith(".") and not end.startswith("..") and "!" not in end and "?" not in end:
+        # Surely a break: a word of four letters or more that isn't capitalised and has no period inside.
+        return t, follows, True, len(t) >= 4 and "." not in t and bare.islower() and bare.isalpha()
+    return t, follows, False, bool(end) and end[0] in "!?।؟"
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: Counter = Counter()
 
