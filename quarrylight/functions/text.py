@@ -173,18 +173,24 @@ def scrub(c: Column, hide: Sequence[str] = ()) -> Column:
     c = F.regexp_replace(c, r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", "[removed]")
     c = F.regexp_replace(c, r"(?:\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "[removed]")
     c = F.regexp_replace(
-        c, r"((?i:my name is|this is|i'm|i am)) ((?i:attorney |lawyer |dr\.? )?)[A-Z][\p{L}\p{N}_'-]+(?:[ -]+[A-Z][\p{L}\p{N}_'-]+){0,3}", "$1 $2[name]"
+        c,
+        r"(?<![\p{L}\p{N}_])((?i:my name is|this is|i'm|i am))\s+((?i:(?:attorney|lawyer|dr\.?)\s+)?)[A-Z][\p{L}\p{N}_'-]+(?:[\s-]+[A-Z][\p{L}\p{N}_'-]+){0,3}",
+        "$1 $2[name]",
     )
     for name in sorted(hide, key=lambda n: (-len(n), n)):
         c = F.regexp_replace(c, "(?i)" + "".join(f"\\{x}" if not x.isalnum() and x.isascii() else x for x in name), "[creator]")
     return c
 
 
+#: Edges of words of any script.
+_START, _STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def numeric_tokens(c: Column) -> Column:
     """Sorted set of the numbers of a text, without commas, labels of forms and visas left out, some number words counted."""
-    low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\b(?:f|j|m|i|ds)-\d+\b|\bform\s+[a-z]+-?\d+\b", " ")
-    digits = F.transform(F.regexp_extract_all(low, F.lit(r"\b\d+(?:,\d{3})*(?:\.\d+)?\b"), F.lit(0)), lambda t: F.regexp_replace(t, ",", ""))
-    said = F.array_compact(F.array(*(F.when(low.rlike(rf"\b{w}\b"), F.lit(n)) for w, n in NUMBER_WORDS.items())))
+    low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"{_START}(?:(?:f|j|m|i|ds)-\d+|form\s+[a-z]+-?\d+){_STOP}", " ")
+    digits = F.transform(F.regexp_extract_all(low, F.lit(rf"{_START}\d+(?:,\d{{3}})*(?:\.\d+)?{_STOP}"), F.lit(0)), lambda t: F.regexp_replace(t, ",", ""))
+    said = F.array_compact(F.array(*(F.when(low.rlike(rf"{_START}{w}{_STOP}"), F.lit(n)) for w, n in NUMBER_WORDS.items())))
     return F.array_sort(F.array_distinct(F.concat(digits, said)))
 
 
@@ -210,7 +216,7 @@ def pages_of(c: Column) -> Column:
     """array<struct(page, text)> of a text with ``--- PAGE n ---`` markers."""
     numbers = F.regexp_extract_all(c, F.lit(r"--- PAGE (\d+) ---"), F.lit(1))
     texts = F.slice(F.split(c, r"--- PAGE \d+ ---"), 2, F.size(numbers))
-    return F.transform(F.arrays_zip(numbers.alias("page"), texts.alias("text")), lambda x: F.struct(x["0"].cast("int").alias("page"), strip(x["1"]).alias("text")))
+    return F.transform(F.arrays_zip(numbers.alias("page"), texts.alias("text")), lambda x: F.struct(x["page"].cast("int").alias("page"), strip(x["text"]).alias("text")))
 
 
 def pre_text(c: Column) -> Column:

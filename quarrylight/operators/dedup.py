@@ -10,6 +10,9 @@ the least id, with the lineage cut in every round.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +20,15 @@ from quarrylight.functions import text as T
 from quarrylight.operators.storage import cut
 
 LEAST_SHINGLES, SIMILAR = 12, 0.85
+#: Texts of a shingle that meet in one task.
+SPLIT = 1_000
 
 
 def copy_flag(df: DataFrame, *columns: str) -> DataFrame:
     """All rows, with ``is_copy`` where another row has the same values; counted by aggregation, not by a window over a hot value."""
-    n = df.groupBy(*columns).agg(F.count("*").alias("_n")).filter("_n > 1")
-    on = [df[c].eqNullSafe(n[c]) for c in columns]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.join(n, cond, "left").select(*(df[c] for c in df.columns), n["_n"].isNotNull().alias("is_copy"))
+    n = df.groupBy(*(F.col(c).alias(f"_{c}") for c in columns)).agg(F.count("*").alias("_n")).filter("_n > 1")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+    return df.join(n, same, "left").select(*df.columns, F.col("_n").isNotNull().alias("is_copy"))
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -60,10 +62,13 @@ def similar_pairs(docs: DataFrame, key: str, text: str, k: int = 5, least: int =
     df = one.groupBy("g").agg(F.count("*").alias("df"))
     w = Window.partitionBy("id").orderBy("df", "g")
     ranked = one.join(df, "g").withColumn("r", F.row_number().over(w))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n")) + 1).filter("df > 1").select("id", "n", "g")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(similar) * F.col("n")) + 1).filter("df > 1").select("id", "n", "g", "df")
+    # A shingle of many texts is split: one side by hash into cells of SPLIT texts, the other goes to each of them.
+    cells = F.ceil(F.col("df") / SPLIT).cast("int")
+    a = prefix.withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int")).alias("a")
+    b = prefix.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1))).alias("b")
     near = (F.col("a.n") * similar <= F.col("b.n")) & (F.col("b.n") * similar <= F.col("a.n"))
-    candidates = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    candidates = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     pairs = (
@@ -77,11 +82,14 @@ def similar_pairs(docs: DataFrame, key: str, text: str, k: int = 5, least: int =
     return pairs, members
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, root): the least id that each node reaches.  nodes: (id); edges: (a, b) in either direction."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root): the least id that each node reaches.  nodes: (id); edges: (a, b) in either direction.
+
+    Roots only ever fall, so it ends; paths halve, so after about as many rounds as the longest path has digits in base 2.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("heard"))
         # The least root heard, and the root of that root: paths halve in each round.
         new = labels.join(heard, labels["id"] == heard["a"], "left").select("id", F.least("root", F.coalesce("heard", "root")).alias("root"))
@@ -90,5 +98,4 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFra
         moved = new.join(labels.select("id", F.col("root").alias("old")), "id").filter("root <> old").limit(1).count()
         labels = new
         if not moved:
-            break
-    return labels
+            return labels

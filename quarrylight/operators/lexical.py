@@ -6,28 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.operators.storage import cut
 
 
 def top_ngrams(docs: DataFrame, text: str, sizes: tuple[int, ...] = (1, 2, 3), k: int = 100) -> DataFrame:
     """(n, term, count, rank): the k most frequent runs of filtered tokens of each size; ties by term."""
     tokens = docs.select(T.topic_tokens(F.col(text)).alias("t"))
-    grams = F.concat(*(F.transform(T.ngrams(F.col("t"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("term"))) for n in sizes))
+    sized = lambda n: F.transform(T.ngrams(F.col("t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("term")))
+    grams = F.concat(*map(sized, sizes))
     counts = tokens.select(F.explode(grams).alias("g")).groupBy(F.col("g.n").alias("n"), F.col("g.term").alias("term")).agg(F.count("*").alias("count"))
     w = Window.partitionBy("n").orderBy(F.desc("count"), "term")
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def tfidf_terms(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (1, 2), most: float = 0.95, features: int = 5000) -> DataFrame:
+def tfidf_terms(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (1, 2, 3), most: float = 0.95, features: int = 5000) -> DataFrame:
     """(term, df, mean): smooth idf ``ln((1 + n) / (1 + df)) + 1``, rows of unit length, mean weight over all documents.
 
-    Terms need a document frequency of 1, 2 or 3 by the size of the corpus (below 50, below 1000, above) and at most
+    The corpus are the documents with a topic token; only runs of two or more letters, digits and underscores are terms.
+    They need a document frequency of 1, 2 or 3 by the size of the corpus (below 30, below 100, above) and at most
     ``most`` of the documents; of these the most frequent ``features`` remain, ties by term.
     """
-    tokens = docs.select(F.col(key).alias("id"), F.filter(T.topic_tokens(F.col(text)), lambda t: F.length(t) >= 2).alias("t"))
+    clean = docs.select(F.col(key).alias("id"), F.array_join(T.topic_tokens(F.col(text)), " ").alias("x")).filter("x <> ''")
+    found = F.regexp_extract_all("x", F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
+    stop = F.array(*map(F.lit, T.STOPWORDS))
+    tokens = clean.select("id", F.filter(found, lambda t: ~F.array_contains(stop, t)).alias("t"))
     grams = F.concat(*(T.ngrams(F.col("t"), n) for n in sizes))
     tf = tokens.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = tokens.count()
-    least = 1 if n < 50 else 2 if n < 1000 else 3
+    least = 1 if n < 30 else 2 if n < 100 else 3
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter((F.col("df") >= least) & (F.col("df") <= most * n))
     kept = terms.orderBy(F.desc("total"), "term").limit(features).select("term", "df")
     weight = F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
@@ -38,3 +44,30 @@ def tfidf_terms(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (
         .groupBy("term")
         .agg(F.first("df").alias("df"), F.round(F.sum(F.col("w") / F.col("norm")) / n, 8).alias("mean"))
     )
+
+
+#: Themes: number, terms of one and two tokens at most, and passes over all documents.
+THEMES, TERMS, PASSES = 8, 8_000, 25
+
+
+def themes(docs: DataFrame, key: str, tokens: str, k: int = THEMES) -> tuple[DataFrame, DataFrame]:
+    """(rows, terms): rows (key, theme, strength), terms (theme, term, weight, rank).
+
+    Latent Dirichlet allocation by the variational method, every pass over all documents.  Terms are the ``TERMS`` most
+    frequent of one and two tokens.  A document's theme is the one with the largest share, the lower number at ties; its
+    strength is that share.  Documents without any of the terms have equal shares, so theme 0.
+    """
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    grams = docs.select(key, F.concat(F.col(tokens), T.ngrams(F.col(tokens), 2)).alias("_g"))
+    found = CountVectorizer(inputCol="_g", outputCol="_v", vocabSize=TERMS, minDF=2.0).fit(grams)
+    counted = cut(found.transform(grams).select(key, "_v"))
+    model = LDA(k=k, maxIter=PASSES, seed=42, featuresCol="_v", optimizer="online", subsamplingRate=1.0).fit(counted)
+    share = vector_to_array("topicDistribution")
+    rows = model.transform(counted).select(key, share.alias("_s")).select(key, (F.array_position("_s", F.array_max("_s")) - 1).cast("int").alias("theme"), F.round(F.array_max("_s"), 6).alias("strength"))
+    names = F.array(*map(F.lit, found.vocabulary))
+    top = model.describeTopics(len(found.vocabulary)).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "t"))
+    terms = top.select(F.col("topic").alias("theme"), F.element_at(names, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"), (F.col("at") + 1).alias("rank"))
+    return rows, terms

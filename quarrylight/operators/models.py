@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 
 class Client(Protocol):
@@ -47,7 +48,7 @@ def keyword_scorer(words: dict[str, list[str]]) -> Callable[[], Scorer]:
 
 def classify(df: DataFrame, text: str, build: Callable[[], Scorer], name: str = "scores", first: int = 128, least: int = 8) -> DataFrame:
     """All rows with a map of label scores; batches are halved down to ``least`` when the scorer runs out of memory."""
-    schema = df.schema.add(name, "map<string,double>")
+    schema = StructType([*df.schema.fields, StructField(name, MapType(StringType(), DoubleType()))])
     columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,13 +86,16 @@ def ask(requests: DataFrame, key: str, request: str, build: Callable[[], Client]
                 for _ in range(tries):
                     try:
                         answer = client(r)
+                    except Exception as e:  # noqa: BLE001 - whatever a client raises is data
+                        status, answer, error = "error", None, f"{type(e).__name__}: {e}"
+                        continue
+                    try:
                         json.loads(answer)
-                        status, error = "ok", None
-                        break
                     except ValueError as e:
                         status, error = "invalid", str(e)
-                    except Exception as e:  # noqa: BLE001 - whatever a client raises is data
-                        status, answer, error = "error", None, f"{type(e).__name__}: {e}"
+                        continue
+                    status, error = "ok", None
+                    break
                 rows.append((k, status, answer, error))
             yield pd.DataFrame(rows, columns=[key, "status", "answer", "error"])
 

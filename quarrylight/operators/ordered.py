@@ -51,36 +51,37 @@ def last_before(left: DataFrame, right: DataFrame, key: str, at: str, right_at:
     return both.filter("_o = 1").select("_l.*", F.col("_v").alias(f"last_{value}"))
 
 
-def paths(nodes: DataFrame, key: str, parent: str, name: str, depth: int = 64) -> DataFrame:
-    """(key, level, path): names from the root down.  Each round joins one level; rows with an unknown parent aren't reached."""
+def paths(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, level, path): names from the root down.  Each round joins one level, until none is left; rows with an unknown parent,
+    and rows that are their own ancestors, aren't reached."""
     level = cut(nodes.filter(F.col(parent).isNull()).select(key, F.lit(0).alias("level"), F.array(name).alias("path")))
-    out = level
-    for n in range(1, depth):
+    out, n = level, 0
+    while not level.isEmpty():
+        n += 1
         above = level.select(F.col(key).alias("_p"), F.col("path").alias("_path"))
         level = cut(nodes.join(above, F.col(parent) == F.col("_p")).select(key, F.lit(n).alias("level"), F.concat("_path", F.array(name)).alias("path")))
-        if level.isEmpty():
-            break
         out = out.unionByName(level)
     return out
 
 
-def split_ranges(df: DataFrame, at: str, most: int, least_span: int, rounds: int = 40) -> DataFrame:
-    """Ranges [low, high) of a time axis in seconds, halved while they hold more than ``most`` rows and span over ``least_span``."""
-    seconds = F.unix_timestamp(at)
-    counts = cut(df.filter(F.col(at).isNotNull()).select(seconds.alias("s")).groupBy("s").agg(F.count("*").alias("n")))
-    low, high = counts.agg(F.min("s"), F.max("s") + 1).first()
-    spark = df.sparkSession
-    done, open_ = [], [(low, high)] if low is not None else []
-    for _ in range(rounds):
-        if not open_:
-            break
-        ranges = spark.createDataFrame(open_, "low long, high long")
-        held = counts.join(F.broadcast(ranges), (F.col("s") >= F.col("low")) & (F.col("s") < F.col("high"))).groupBy("low", "high").agg(F.sum("n").alias("n")).collect()
-        held_rows, open_ = {(r.low, r.high): r.n for r in held}, []
-        for (a, b), n in held_rows.items():
-            if n > most and b - a > least_span:
-                open_ += [(a, (a + b) // 2), ((a + b) // 2, b)]
-            else:
-                done.append((a, b, n))
-    done += [(a, b, 0) for a, b in open_]
-    return spark.createDataFrame(done, "low long, high long, n long").filter("n > 0")
+def split_ranges(df: DataFrame, at: str, most: int, least_span: int) -> DataFrame:
+    """(low, high, n): ranges [low, high) of a time axis in seconds, halved while they hold more than ``most`` rows and span over ``least_span``.
+
+    The axis starts at the first second and is a power of two of ``least_span`` (one second at least) long.  All halvings
+    are counted in one aggregation over the cells of the finest, and a range is given where it needs no halving but the
+    one around it does.  Empty ranges are left out.
+    """
+    span = max(1, least_span)
+    seconds = df.filter(F.col(at).isNotNull()).select(F.unix_timestamp(at).alias("s"))
+    first, last = seconds.agg(F.min("s"), F.max("s")).first()
+    levels = 0 if first is None else ((last - first) // span).bit_length()
+    cells = seconds.groupBy(F.floor((F.col("s") - F.lit(first)) / span).alias("cell")).agg(F.count("*").alias("n"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    held = cells.select("cell", "n", level).groupBy("level", F.expr("shiftright(cell, level)").alias("cell")).agg(F.sum("n").alias("n"))
+    fits = held.filter((F.col("n") <= most) | (F.col("level") == 0)).select("level", "cell", "n")
+    full = held.filter(F.col("n") > most).select((F.col("level") - 1).alias("level"), F.col("cell").alias("around"))
+    # Below a full range, or the whole axis where that isn't full.
+    kept = fits.join(full, (fits["level"] == full["level"]) & (F.floor(fits["cell"] / 2) == full["around"]), "left_semi").unionByName(fits.filter(F.col("level") == levels))
+    width = F.lit(span) * F.expr("shiftleft(1L, level)")
+    low = F.lit(first).cast("long") + F.col("cell") * width
+    return kept.select(low.alias("low"), (low + width).alias("high"), "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from quarrylight.operators.storage import cut
+
 
 def hash_order(key: Column, seed: int) -> Column:
     """An order that depends on key and seed alone, the same in any engine."""
@@ -23,17 +25,24 @@ def stratified(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> D
     return near.orderBy("_top", "_h", key).limit(n).drop("_h", "_r", "_top")
 
 
-def rank_positions(df: DataFrame, order: list[Column], value: str) -> DataFrame:
-    """``x``: rank in order scaled to [0, 1]; ``y``: value scaled to [0, 1] by its range, at least 1.
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """All rows with their number from 1 in order: sorted by range partitions, each numbered on its own behind those before it."""
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    # A row per partition.
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, inside + F.col("_before")).drop("_part", "_before")
 
-    The range is an aggregate; the rank is a sort of the whole table, so this is for tables of a report.
-    """
+
+def rank_positions(df: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """``x``: rank in order scaled to [0, 1]; ``y``: value scaled to [0, 1] by its range, at least 1."""
     limits = df.agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    w = Window.partitionBy(F.lit(1)).orderBy(*order)
     return (
-        df.withColumn("_r", F.row_number().over(w) - 1)
+        numbered(df, order, "_r")
         .crossJoin(F.broadcast(limits))
-        .withColumn("x", F.col("_r") / F.greatest(F.lit(1), F.col("_n") - 1))
+        .withColumn("x", (F.col("_r") - 1) / F.greatest(F.lit(1), F.col("_n") - 1))
         .withColumn("y", (F.col(value) - F.col("_lo")) / F.greatest(F.lit(1.0), F.col("_hi") - F.col("_lo")))
         .drop("_r", "_n", "_lo", "_hi")
     )

@@ -12,6 +12,8 @@ the broadcast of query tokens is left to the planner, which knows their size.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,24 @@ def top_k(scores: DataFrame, group: str, key: str, k: int, score: str = "score")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def ranked(scores: DataFrame, queries: DataFrame, query_key: str, allowed: DataFrame, key: str, k: int) -> DataFrame:
+    """The k best allowed documents of every query: those without a shared token follow with score 0, in order of the key.
+
+    Of all documents without a score only the first in order of the key can be needed: with k of them for each query
+    beyond the ones that have a score, k plus the number of scored rows among the first; these are few, as scores are cut
+    to the k best first and the filler is a fixed list of 2 k keys.
+    """
+    best = top_k(scores.filter("score > 0").join(allowed.select(key), key, "left_semi"), query_key, key, k).drop("rank")
+    low = scores.filter("score <= 0").join(allowed.select(key), key, "left_semi")
+    missing = k - F.count(key)
+    short = queries.select(query_key).distinct().join(best.select(query_key, key), query_key, "left").groupBy(query_key).agg(missing.alias("_missing")).filter("_missing > 0")
+    # Documents with a score above 0 are k - 1 at most for a short query, so the first 2 k keys hold k without.
+    filler = allowed.select(key).distinct().orderBy(key).limit(2 * k)
+    zero = short.crossJoin(F.broadcast(filler)).join(scores.select(query_key, key), [query_key, key], "left_anti").select(query_key, key, F.lit(0.0).alias("score"))
+    low = low.join(short.select(query_key), query_key, "left_semi")
+    return top_k(best.unionByName(zero).unionByName(low.select(query_key, key, "score")), query_key, key, k)
+
+
 def as_of(available: Column, at: Column) -> Column:
     """Whether something was available at a time: always if it has no date or none is asked for."""
     return available.isNull() | at.isNull() | (available <= at)
@@ -72,6 +92,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b)))
 
 
+#: Rows of a block of the corpus and of a block of queries in ``nearest``.
+ROWS, ASKED = 16_384, 4_096
+
+
+def nearest(corpus: DataFrame, key: str, label: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, label, key, score, rank): the k nearest vectors of each label for each query, the query itself left out.
+
+    ``queries``: (query_id, v).  Blocks of queries meet blocks of the corpus in one product of matrices each; of every
+    block only rows that can be among the k best come out.  A corpus block goes to as many tasks as there are blocks of
+    queries, a query block to as many as there are blocks of the corpus; nothing is broadcast.  Cosines are rounded to
+    six places, ties go to the lesser key; zero vectors and null ones have none.
+    """
+    n, asked = corpus.count(), queries.count()
+    parts, groups = max(1, -(-n // ROWS)), max(1, -(-asked // ASKED))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    left = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"), block(key, parts).alias("part"), every(groups).alias("group"))
+    right = queries.filter("v is not null").select("query_id", F.col("v").cast("array<double>").alias("v"), every(parts).alias("part"), block("query_id", groups).alias("group"))
+    kind = corpus.schema[key].dataType.simpleString()
+    names = corpus.schema[label].dataType.simpleString()
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        m = np.array(column.to_pylist(), np.float64)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+    def product(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", asked.schema.field("query_id").type), ("label", rows.schema.field("label").type), ("id", rows.schema.field("id").type), ("score", pa.float64())])
+        if not rows.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        ids, labels, mine = rows.column("id").to_pylist(), rows.column("label").to_pylist(), asked.column("query_id").to_pylist()
+        scores = np.round(unit(asked.column("v")) @ unit(rows.column("v")).T, 6)
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        of: dict = {}
+        for j, x in enumerate(labels):
+            of.setdefault(x, []).append(j)
+        for x, members in of.items():
+            some = scores[:, members]
+            # The query itself may be among them, so one more is kept.
+            bar = np.partition(np.nan_to_num(some, nan=-2.0), -(k + 1), axis=1)[:, -(k + 1)] if len(members) > k + 1 else np.full(len(mine), -2.0)
+            for i, j in zip(*np.nonzero(some >= bar[:, None])):
+                if ids[members[j]] != mine[i]:
+                    for c, value in zip(out, (mine[i], x, ids[members[j]], float(some[i, j]))):
+                        c.append(value)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    met = left.groupBy("part", "group").cogroup(right.groupBy("part", "group")).applyInArrow(product, f"query_id {kind}, label {names}, id {kind}, score double")
+    w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("id", key)
+
+
 def quality(ranked: DataFrame, relevant: Column, query_key: str) -> DataFrame:
     """hit@1, hit@3, hit@5 and mean reciprocal rank of the first relevant row; queries without one count as misses."""
     first = ranked.groupBy(query_key).agg(F.min(F.when(relevant, F.col("rank"))).alias("first"))

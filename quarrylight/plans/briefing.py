@@ -69,8 +69,8 @@ def policy(rows: DataFrame) -> DataFrame:
     return n.select("change", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2).alias("share"), "mean_size")
 
 
-TIMELINE_SQL = """select strftime(at, '%Y-%m-%d') as day, docket_id, event, row_number() over (order by at, docket_id, event) as position
-from (select opens_at as at, docket_id, 'opens' as event from dockets union all select closes_at, docket_id, 'closes' from dockets) where at is not null"""
+TIMELINE_SQL = """select strftime(moment, '%Y-%m-%d') as day, docket_id, event, row_number() over (order by moment, docket_id, event) as position
+from (select opens_at as moment, docket_id, 'opens' as event from dockets union all select closes_at, docket_id, 'closes' from dockets) where moment is not null"""
 
 
 def timeline(dockets: DataFrame) -> DataFrame:

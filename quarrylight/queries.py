@@ -72,7 +72,11 @@ def clean_text(spark, d):
     return _t(spark, d, "comments_no_pii").select("comment_id", T.clean(C("comment_clean")).alias("cleaned"))
 
 
-@query()
+#: Entities of the tables; the engine knows all.
+_unescaped = "replace(replace(replace(replace(replace(comment_clean, '&nbsp;', chr(160)), '&#64;', '@'), '&#39;', chr(39)), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"select comment_id, {_clean(_unescaped)} as cleaned from comments_no_pii")
 def clean_text_entities(spark, d):
     from quarrylight.functions.entities import unescape
 
@@ -168,17 +172,19 @@ def split_titles(spark, d):
 @query(
     r"""select comment_id, regexp_replace(regexp_replace(regexp_replace(comment_clean, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[removed]', 'g'),
 '(?:\+?1[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}', '[removed]', 'g'),
-'((?i:my name is|this is|i''m|i am)) ((?i:attorney |lawyer |dr\.? )?)[A-Z][\p{L}\p{N}_''-]+(?:[ -]+[A-Z][\p{L}\p{N}_''-]+){0,3}', '\1 \2[name]', 'g') as scrubbed from comments_no_pii"""
+'(^|[^\p{L}\p{N}_])((?i:my name is|this is|i''m|i am))\s+((?i:(?:attorney|lawyer|dr\.?)\s+)?)[A-Z][\p{L}\p{N}_''-]+(?:[\s-]+[A-Z][\p{L}\p{N}_''-]+){0,3}', '\1\2 \3[name]', 'g') as scrubbed from comments_no_pii"""
 )
 def pii_scrub(spark, d):
     return _t(spark, d, "comments_no_pii").select("comment_id", T.scrub(C("comment_clean")).alias("scrubbed"))
 
 
-_said = ", ".join(f"case when regexp_matches(low, '\\b{w}\\b') then '{n}' end" for w, n in T.NUMBER_WORDS.items())
+# RE2 has no look-around: every sign that is no part of a word is doubled, so that a match may consume one on either side.
+_W = r"[^\p{L}\p{N}_]"
+_said = ", ".join(f"case when regexp_matches(low, '(?:^|{_W}){w}(?:$|{_W})') then '{n}' end" for w, n in T.NUMBER_WORDS.items())
 _numbers = lambda src, c: (
-    rf"(select *, list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(low, '\b\d+(?:,\d{{3}})*(?:\.\d+)?\b'), lambda t: replace(t, ',', '')),"
+    rf"(select *, list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(low, '(?:^|{_W})(\d+(?:,,\d{{3}})*(?:\.\.\d+)?)(?:$|{_W})', 1), lambda t: replace(replace(t, ',,', ''), '..', '.')),"
     rf" list_filter([{_said}], lambda x: x is not null)))) as nums from"
-    rf" (select *, regexp_replace(lower(coalesce({c}, '')), '\b(?:f|j|m|i|ds)-\d+\b|\bform\s+[a-z]+-?\d+\b', ' ', 'g') as low from {src}))"
+    rf" (select *, regexp_replace(regexp_replace(lower(coalesce({c}, '')), '({_W})', '\1\1', 'g'), '(^|{_W})(?:(?:f|j|m|i|ds)--\d+|form\s+[a-z]+(?:--)?\d+)($|{_W})', '\1  \2', 'g') as low from {src}))"
 )
 
 
@@ -397,10 +403,11 @@ def top_ngrams(spark, d):
 
 
 @query(
-    f"""with c as (select comment_id as id, max(comment_clean) as x from comments_no_pii group by comment_id), t as (select id, {_topic('x')} as t from c),
-g as (select id, unnest(list_concat(t, {_grams('t', 2)})) as term from t), tf as (select id, term, count(*) as tf from g group by id, term),
+    f"""with c as (select id, x from (select comment_id as id, array_to_string({_topic('max(comment_clean)')}, ' ') as x from comments_no_pii group by comment_id) where x <> ''),
+t as (select id, list_filter(regexp_extract_all(x, '[a-z0-9_]{{2,}}'), lambda t: not list_contains({_stop}, t)) as t from c),
+g as (select id, unnest(list_concat(t, {_grams('t', 2)}, {_grams('t', 3)})) as term from t), tf as (select id, term, count(*) as tf from g group by id, term),
 n as (select count(*) as n from c), df as (select term, count(*) as df, sum(tf) as total from tf group by term),
-k as (select term, df from df, n where df >= case when n < 50 then 1 when n < 1000 then 2 else 3 end and df <= 0.95 * n order by total desc, term limit 5000),
+k as (select term, df from df, n where df >= case when n < 30 then 1 when n < 100 then 2 else 3 end and df <= 0.95 * n order by total desc, term limit 5000),
 w as (select id, term, df, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) as w from tf join k using (term), n),
 m as (select id, sqrt(sum(w * w)) as norm from w group by id)
 select term, any_value(df) as df, round(sum(w / norm) / any_value(n), 8) as mean from w join m using (id), n group by term"""
@@ -419,7 +426,8 @@ p as (select article_id, token, count(*) as tf from tok group by 1, 2), df as (s
 idf as (select token, case when raw < 0 then 0.25 * (select avg(raw) from df) else raw end as idf from df),
 q as (select docket_id, token, count(*) as times from (select docket_id, unnest({_search('docket_title')}) as token from dockets) group by 1, 2),
 s as (select docket_id, article_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 4) as score
-from q join p using (token) join idf using (token) join len_ using (article_id), st group by 1, 2)"""
+from q join p using (token) join idf using (token) join len_ using (article_id), st group by 1, 2),
+every as (select dockets.docket_id, doc.article_id, doc.domain, coalesce(s.score, 0) as score from dockets cross join doc left join s on s.docket_id = dockets.docket_id and s.article_id = doc.article_id)"""
 
 
 def _bm25(spark, d):
@@ -429,33 +437,37 @@ def _bm25(spark, d):
     return a, search.bm25(a, "article_id", "x", _t(spark, d, "dockets"), "docket_id", "docket_title")
 
 
-@query(f"{_bm25_sql} select docket_id, article_id, score, rank from (select *, row_number() over (partition by docket_id order by score desc, article_id) as rank from s) where rank <= 5")
+def _ranked(spark, d, k, allowed=None):
+    a, scores = _bm25(spark, d)
+    allowed = (a if allowed is None else a.filter(allowed)).select("article_id")
+    return a, search.ranked(scores, _t(spark, d, "dockets"), "docket_id", allowed, "article_id", k)
+
+
+@query(f"{_bm25_sql} select docket_id, article_id, score, rank from (select *, row_number() over (partition by docket_id order by score desc, article_id) as rank from every) where rank <= 5")
 def bm25_topk(spark, d):
-    return search.top_k(_bm25(spark, d)[1], "docket_id", "article_id", 5)
+    """The five best articles of every docket title; where fewer share a token, others follow with score 0."""
+    return _ranked(spark, d, 5)[1]
 
 
 @query(
     f"""{_bm25_sql} select docket_id, article_id, score, rank from (select s.*, row_number() over (partition by docket_id order by score desc, article_id) as rank
-from s join doc using (article_id) where domain like 'harrow%') where rank <= 5"""
+from every s where domain like 'harrow%') where rank <= 5"""
 )
 def bm25_filtered(spark, d):
     """The filter follows the statistics of the whole corpus, so surviving rows keep their scores."""
-    a, scores = _bm25(spark, d)
-    kept = a.filter(C("domain").startswith("harrow")).select("article_id")
-    return search.top_k(scores.join(kept, "article_id", "left_semi"), "docket_id", "article_id", 5)
+    return _ranked(spark, d, 5, C("domain").startswith("harrow"))[1]
 
 
 @query(
-    f"""{_bm25_sql}, r as (select *, row_number() over (partition by docket_id order by score desc, article_id) as rank from s),
+    f"""{_bm25_sql}, r as (select *, row_number() over (partition by docket_id order by score desc, article_id) as rank from every),
 f as (select docket_id, min(case when contains(lower(x), lower(docket_id)) then rank end) as first from r join doc using (article_id) where rank <= 20 group by docket_id)
 select count(*) as queries, round(avg(coalesce(first <= 1, false)::int), 4) as hit_1, round(avg(coalesce(first <= 3, false)::int), 4) as hit_3, round(avg(coalesce(first <= 5, false)::int), 4) as hit_5,
 round(avg(coalesce(1.0 / first, 0)), 4) as mrr from f"""
 )
 def retrieval_eval(spark, d):
     """A page is relevant to a docket when it names the docket's number."""
-    a, scores = _bm25(spark, d)
-    ranked = search.top_k(scores, "docket_id", "article_id", 20).join(a, "article_id")
-    return search.quality(ranked, F.contains(F.lower("x"), F.lower("docket_id")), "docket_id")
+    a, best = _ranked(spark, d, 20)
+    return search.quality(best.join(a, "article_id"), F.contains(F.lower("x"), F.lower("docket_id")), "docket_id")
 
 
 _dense = """with e as (select vec_id, label, embedding::double[] as v from embeddings), q as (select * from e where vec_id % 100 = 0),
@@ -468,10 +480,7 @@ def dense_topk(spark, d):
     """The three nearest vectors of each label for the stated query set, every id divisible by 100, against all rows."""
     e = _t(spark, d, "embeddings").select("vec_id", "label", "embedding")
     q = e.filter("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("v"))
-    # The queries are a block of bounded rows that is replicated to the partitions of the corpus, not a join of all pairs.
-    s = e.join(q, C("query_id") != C("vec_id")).select("query_id", "label", "vec_id", F.round(search.cosine(C("v"), C("embedding")), 6).alias("score"))
-    w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    return search.nearest(e, "vec_id", "label", "embedding", q, 3)
 
 
 # -- evidence ---------------------------------------------------------------------------------------------------------
@@ -497,19 +506,13 @@ def quote_spans(spark, d):
 
 
 @query(
-    """select a.segment_id as a, b.segment_id as b from (select distinct video_id, segment_id, start_s, end_s from transcript_segments) a
-join (select distinct video_id, segment_id, start_s, end_s from transcript_segments) b on a.video_id = b.video_id and a.segment_id < b.segment_id and a.start_s < b.end_s and a.end_s > b.start_s
-where a.end_s - a.start_s between 0 and 60 and b.end_s - b.start_s between 0 and 60"""
+    """with s as (select distinct video_id, segment_id, start_s, end_s from transcript_segments)
+select a.segment_id as a, b.segment_id as b from s a join s b on a.video_id = b.video_id and a.segment_id < b.segment_id and a.start_s < b.end_s and a.end_s > b.start_s"""
 )
 def span_overlap(spark, d):
-    """Overlapping segments of a video; the equi-join is on video and time block, so a long video is no hot key."""
-    s = _t(spark, d, "transcript_segments").select("video_id", "segment_id", "start_s", "end_s").distinct().filter("end_s - start_s between 0 and 60")
-    cells = s.withColumn("cell", F.explode(F.sequence(F.floor(C("start_s") / 60), F.floor(C("end_s") / 60))))
-    a, b = cells.alias("a"), cells.alias("b")
-    on = (C("a.video_id") == C("b.video_id")) & (C("a.cell") == C("b.cell")) & (C("a.segment_id") < C("b.segment_id"))
-    # Of the cells that both share, the one where the later starts reports the pair, so none comes twice.
-    once = F.floor(F.greatest("a.start_s", "b.start_s") / 60) == C("a.cell")
-    return a.join(b, on & evidence.overlaps(C("a.start_s"), C("a.end_s"), C("b.start_s"), C("b.end_s")) & once).select(C("a.segment_id").alias("a"), C("b.segment_id").alias("b"))
+    """Overlapping segments of a video, whatever their length."""
+    s = _t(spark, d, "transcript_segments").select("video_id", "segment_id", "start_s", "end_s").distinct()
+    return evidence.overlapping(s, "video_id", "segment_id", "start_s", "end_s")
 
 
 _guard_src = f"(select distinct article_id, title, article_text from gdelt_news_articles)"
@@ -590,13 +593,13 @@ _risk = "case l_returnflag when 'R' then 0 when 'A' then 1 else 4 end"
 
 @query(
     f"""with x as (select l_orderkey, l_partkey, l_linenumber, l_quantity, {_risk} as risk from lineitem),
-f as (select *, row_number() over (partition by l_orderkey, l_partkey order by risk, -l_quantity, l_linenumber) as a from x),
-g as (select *, row_number() over (partition by l_orderkey order by risk, -l_quantity, l_linenumber) as rank from f where a = 1)
+f as (select *, row_number() over (partition by l_orderkey, l_partkey order by risk, -l_quantity, l_linenumber, l_partkey) as a from x),
+g as (select *, row_number() over (partition by l_orderkey order by risk, -l_quantity, l_linenumber, l_partkey) as rank from f where a = 1)
 select l_orderkey, l_partkey, l_linenumber, l_quantity, risk, rank from g where rank <= 3"""
 )
 def featured_topk(spark, d):
     x = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", F.when(C("l_returnflag") == "R", 0).when(C("l_returnflag") == "A", 1).otherwise(4).alias("risk"))
-    return claims.featured(x, ["l_orderkey"], "l_partkey", [C("risk"), -C("l_quantity"), C("l_linenumber")], 3)
+    return claims.featured(x, ["l_orderkey"], "l_partkey", [C("risk"), -C("l_quantity"), C("l_linenumber"), C("l_partkey")], 3)
 
 
 _RULES = [("(?i)\\b(court|judge|ruling|lawyers)\\b", "court"), ("(?i)\\b(docket|filed under)\\b", "docket"), ("(?i)\\b(bureau|office|department|desk)\\b", "agency")]
@@ -612,13 +615,13 @@ def route_rows(spark, d):
 
 
 @query(
-    """with e as (select user_id, event_id, ts, event_type from events)
-select event_id, (select p.event_type from e p where p.user_id = e.user_id and p.event_type = 'purchase' and p.ts <= e.ts limit 1) as last_event_type from e where event_type <> 'purchase'"""
+    """with p as (select user_id, ts as at_ts, max(event_id) as event_id from events where event_type = 'purchase' group by 1, 2)
+select e.event_id, p.event_id as last_purchase_id from events e asof left join p on e.user_id = p.user_id and e.ts >= p.at_ts where e.event_type <> 'purchase'"""
 )
 def asof_join(spark, d):
     e = _t(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
-    out = ordered.last_before(e.filter("event_type <> 'purchase'"), e.filter("event_type = 'purchase'").select("user_id", C("ts").alias("at"), C("event_type")), "user_id", "ts", "at", "event_type")
-    return out.select("event_id", "last_event_type")
+    bought = e.filter("event_type = 'purchase'").select("user_id", C("ts").alias("at"), C("event_id").alias("purchase_id"))
+    return ordered.last_before(e.filter("event_type <> 'purchase'"), bought, "user_id", "ts", "at", "purchase_id").select("event_id", "last_purchase_id")
 
 
 @query(
@@ -823,10 +826,10 @@ def nested_roundtrip(spark, d):
 
 
 @query(
-    """select l_orderkey, max(case when n = 1 then l_partkey end) as part_1, max(case when n = 2 then l_partkey end) as part_2 from (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber) as n from lineitem) group by l_orderkey"""
+    """select l_orderkey, max(case when n = 1 then l_partkey end) as part_1, max(case when n = 2 then l_partkey end) as part_2 from (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as n from lineitem) group by l_orderkey"""
 )
 def wide_evidence(spark, d):
-    n = export.nest(_t(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber"], ["l_partkey"], "parts")
+    n = export.nest(_t(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], ["l_partkey"], "parts")
     return n.select("l_orderkey", *export.widen(F.transform("parts", lambda p: p["l_partkey"]), 2, "part"))
 
 
@@ -874,7 +877,12 @@ def last_writes(spark, d):
     return last(_t(spark, d, "comments_no_pii").select("comment_id", "docket_id", C("collected_at").alias("written")), "comment_id", "written")
 
 
-@query()
+@query(
+    """with e as (select floor(epoch(ts))::bigint as s from events where ts is not null), o as (select min(s) as a, max(s) as b from e), l as (select generate_series as level from o, generate_series(0, 40) where (b - a) // 21600 >= (1::bigint << greatest(level - 1, 0)) or level = 0),
+h as (select level, ((s - a) // 21600) >> level as cell, count(*) as n from e, o, l group by 1, 2), top as (select max(level) as m from l)
+select a + cell * (21600::bigint << level) as low, a + (cell + 1) * (21600::bigint << level) as high, n from h, o, top
+where (n <= 250 or level = 0) and (level = m or exists (select 1 from h p where p.level = h.level + 1 and p.cell = h.cell >> 1 and p.n > 250))"""
+)
 def range_split(spark, d):
     return ordered.split_ranges(_t(spark, d, "events"), "ts", 250, 6 * 3600)
 
@@ -919,21 +927,33 @@ def rank_positions(spark, d):
     return r.select("s_suppkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+def _themes(spark, d):
+    c = _t(spark, d, "comments_no_pii").groupBy("comment_id").agg(F.max("comment_clean").alias("x")).select("comment_id", T.topic_tokens(C("x")).alias("t")).filter("size(t) > 0")
+    return lexical.themes(c, "comment_id", "t")
+
+
 @query()
 def themes(spark, d):
-    """Themes of comments by LDA on topic tokens, in place of a factorisation that Spark lacks: an approximation, not a match."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    c = _t(spark, d, "comments_no_pii").groupBy("comment_id").agg(F.max("comment_clean").alias("x")).select(T.topic_tokens(C("x")).alias("t")).filter("size(t) >= 5")
-    cv = CountVectorizer(inputCol="t", outputCol="v", vocabSize=2000, minDF=5.0).fit(c)
-    lda = LDA(k=8, maxIter=8, seed=42, featuresCol="v", optimizer="online").fit(cv.transform(c))
-    names = F.array(*(F.lit(w) for w in cv.vocabulary))
-    top = lda.describeTopics(12)
-    return top.select("topic", F.array_join(F.transform("termIndices", lambda i: F.element_at(names, i + 1)), " ").alias("terms"))
+    """Dominant theme and strength of every comment with a topic token, and the size of the theme; a mixture model in place of a
+    factorisation that Spark lacks, so an approximation."""
+    rows = _themes(spark, d)[0]
+    return rows.join(F.broadcast(rows.groupBy("theme").agg(F.count("*").alias("size"))), "theme").select("comment_id", "theme", "strength", "size")
 
 
 @query()
+def theme_terms(spark, d):
+    """The 150 heaviest terms of every theme with their weights, the first twelve of which describe it."""
+    return _themes(spark, d)[1].filter("rank <= 150")
+
+
+_hits = lambda *w: f"1 + len(list_filter(w, lambda x: list_contains({list(w)}, x)))"
+
+
+@query(
+    f"""with t as (select comment_id, regexp_split_to_array({_strip("lower(coalesce(comment_clean, ''))")}, '{_BL}+') as w from comments_no_pii),
+n as (select comment_id, {_hits('support', 'sensible', 'modest', 'well-meant')} as s, {_hits('oppose', 'withdraw', 'costly', 'harsh', 'unworkable')} as o, {_hits('the')} as u from t)
+select comment_id, case when u >= s and u >= o then 'neutral' when o >= s then 'oppose' else 'support' end as label, round((s - o) * 1.0 / (s + o + u), 6) as signed from n"""
+)
 def model_stage(spark, d):
     """The scorer boundary with a deterministic stand-in."""
     words = {"support": ["support", "sensible", "modest", "well-meant"], "oppose": ["oppose", "withdraw", "costly", "harsh", "unworkable"], "neutral": ["the"]}
@@ -942,10 +962,15 @@ def model_stage(spark, d):
     return s.select("comment_id", export.top_label(C("scores")).alias("label"), F.round(C("scores")["support"] - C("scores")["oppose"], 6).alias("signed"))
 
 
-@query()
+@query(
+    f"""select distinct sha256(article_text) as request_key, 'ok' as status, length(article_text)::bigint as length, regexp_extract({_strip('article_text')}, '^[^\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{3000}}]*') as first
+from gdelt_news_articles where article_text is not null"""
+)
 def model_requests(spark, d):
+    """Requests of the model boundary: each distinct text is asked once, and its answer read as JSON."""
     a = _t(spark, d, "gdelt_news_articles").filter("article_text is not null").select("article_id", "article_text")
-    return models.ask(a.select(models.request_key(C("article_text")).alias("request_key"), "article_text"), "request_key", "article_text", models.echo_client)
+    got = models.ask(a.select(models.request_key(C("article_text")).alias("request_key"), "article_text"), "request_key", "article_text", models.echo_client)
+    return got.select("request_key", "status", F.from_json("answer", "length long, first string").alias("a")).select("request_key", "status", "a.length", "a.first")
 
 
 # -- panels -----------------------------------------------------------------------------------------------------------
