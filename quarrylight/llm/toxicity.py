@@ -27,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,23 +264,35 @@ def _odds(toxic: list[list[str]], clean: list[list[str]], corpus: Corpus, paired
 
 
 def tail(tops: list[tuple[float, int]]) -> tuple[float, float]:
-    """(scale, K) of the extreme-value law ``P(top > s) = K n exp(-scale s)`` from (top, length) of clean texts.
+    """(scale, K) of the extreme-value law ``P(top <= s) = exp(-K n exp(-scale s))`` from (top, length) of clean texts.
 
-    A censored maximum-likelihood fit above the median of the tops, the lengths as offset: tops of the highest ``WRONG``,
-    where labels may be wrong, only count as being that high.
+    Censored maximum likelihood, the lengths as offset: of tops below the median only that they are below counts, of the
+    highest ``WRONG``, where labels may be wrong, only that they are as high.
     """
-    scale = 1.0
-    for _ in range(20):
-        ys = sorted(s - math.log(n) / scale for s, n in tops)
-        low, high = ys[len(ys) // 2], ys[min(len(ys) - 1, int(len(ys) * (1 - WRONG)))]
-        above = [min(y, high) - low for y in ys if y > low]
-        whole = sum(y < high for y in ys if y > low)
-        new = max(LEAST_SCALE, min(1.0, whole / sum(above))) if above and whole else 1.0
-        if abs(new - scale) < 1e-4:
-            break
-        scale = (scale + new) / 2
-    # Of all tops the share above ``low`` is K exp(-scale low).
-    return scale, len(above) / len(ys) * math.exp(scale * low)
+    x, n = np.array([s for s, _ in tops]), np.log([float(n) for _, n in tops])
+    low, high = np.quantile(x, 0.5), np.quantile(x, 1 - WRONG)
+    high = max(high, low + 1e-6)
+    below, above = x <= low, x >= high
+    held, held_n = x[~below & ~above], n[~below & ~above]
+
+    def likelihood(scale: float, log_k: float) -> float:
+        inner = log_k + held_n - scale * held
+        top = np.exp(np.minimum(log_k + n[above] - scale * high, 30.0))
+        return (
+            -np.exp(log_k + n[below] - scale * low).sum()
+            + (math.log(scale) + inner - np.exp(inner)).sum()
+            + np.log(np.maximum(-np.expm1(-top), 1e-300)).sum()
+        )
+
+    def best(f, a: float, b: float, steps: int) -> float:
+        for _ in range(steps):
+            c, d = a + (b - a) * 0.382, a + (b - a) * 0.618
+            a, b = (a, d) if f(c) > f(d) else (c, b)
+        return (a + b) / 2
+
+    k_at = lambda scale: best(lambda k: likelihood(scale, k), -15.0, 10.0, 30)
+    scale = best(lambda s: likelihood(s, k_at(s)), LEAST_SCALE, 1.0, 16)
+    return scale, math.exp(k_at(scale))
 
 
 class Evidence:
