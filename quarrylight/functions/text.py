@@ -6,7 +6,7 @@ blanks) because ``\\w``, ``\\s`` and ``trim`` cover ASCII only on the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,9 +74,8 @@ def topic_text(c: Column) -> Column:
 def topic_tokens(c: Column, least: int = 3, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Tokens of topics: words that may hold ' # + . -, edges stripped, of a least length and no stopwords."""
     raw = F.regexp_extract_all(topic_text(c), F.lit(r"[a-z][a-z0-9'#+.\-]*"), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in stopwords))
     bare = F.transform(raw, lambda t: F.regexp_replace(t, r"^['#+.\-]+|['#+.\-]+$", ""))
-    return F.filter(bare, lambda t: (F.length(t) >= least) & ~F.array_contains(stop, t))
+    return F.filter(bare, lambda t: (F.length(t) >= least) & ~t.isin(*stopwords))
 
 
 def search_tokens(c: Column) -> Column:
@@ -86,20 +85,24 @@ def search_tokens(c: Column) -> Column:
     return F.flatten(parts)
 
 
-def shingles(c: Column, k: int = 5) -> Column:
-    """Set of runs of ``k`` words; empty for shorter texts."""
-    w = words(c)
-    return F.when(
-        F.size(w) >= k,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))),
-    ).otherwise(F.array().cast("array<string>"))
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, as an inner function would otherwise do so for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` tokens in order, with repetition."""
-    return F.when(
-        F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1)))
+        return F.when(F.size(t) >= n, F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return tokens if n == 1 else bound(tokens, runs)
+
+
+def shingles(c: Column, k: int = 5) -> Column:
+    """Set of runs of ``k`` words; empty for shorter texts."""
+    return F.array_distinct(ngrams(words(c), k))
 
 
 def quote_key(c: Column) -> Column:

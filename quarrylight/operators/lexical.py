@@ -28,8 +28,7 @@ def tfidf_terms(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (
     """
     clean = docs.select(F.col(key).alias("id"), F.array_join(T.topic_tokens(F.col(text)), " ").alias("x")).filter("x <> ''")
     found = F.regexp_extract_all("x", F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    stop = F.array(*map(F.lit, T.STOPWORDS))
-    tokens = clean.select("id", F.filter(found, lambda t: ~F.array_contains(stop, t)).alias("t"))
+    tokens = cut(clean.select("id", F.filter(found, lambda t: ~t.isin(*T.STOPWORDS)).alias("t")))
     grams = F.concat(*(T.ngrams(F.col("t"), n) for n in sizes))
     tf = tokens.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = tokens.count()

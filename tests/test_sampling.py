@@ -2,17 +2,10 @@
 
 import random
 
-import pytest
-from pyspark.sql import SparkSession
 
 from quarrylight.operators import sampling
 
 
-@pytest.fixture(scope="module")
-def spark():
-    s = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", 2).config("spark.ui.enabled", "false").getOrCreate()
-    yield s
-    s.stop()
 
 
 def plain(points, n):
