@@ -48,6 +48,21 @@ def rank_positions(df: DataFrame, order: list[Column], value: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, order: list[Column], state: str, states: list, n: int) -> DataFrame:
+    """At most n rows, one of each listed state in turn: the first of its rows for the first pick, then the row whose place in order
+    is farthest from the places picked before, ties to the earlier place.  One aggregation per pick over the rows of the listed states."""
+    placed = cut(numbered(df, order, "_at").filter(F.col(state).isin(states)))
+    chosen: list[int] = []
+    for s in states[:]:
+        if len(chosen) == n:
+            break
+        far = F.array_min(F.array(*(F.abs(F.col("_at") - p) for p in chosen))) if chosen else F.lit(0)
+        at = placed.filter(F.col(state) == s).agg(F.min_by("_at", F.struct((-far).alias("f"), F.col("_at")))).first()[0]
+        if at is not None:
+            chosen.append(at)
+    return placed.filter(F.col("_at").isin(chosen)).drop("_at")
+
+
 def farthest(df: DataFrame, key: str, x: str, y: str, n: int) -> DataFrame:
     """n keys by farthest-point order: the four corners' nearest points, then always the point farthest from those chosen.
 

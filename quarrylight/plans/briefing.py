@@ -92,3 +92,25 @@ def followups(comment_rows: DataFrame, article_rows: DataFrame, video_rows: Data
     b = article_rows.filter("article_text is null").agg(F.countDistinct("article_id").alias("articles_without_text"))
     c = video_rows.filter("published_date is null").agg(F.countDistinct("video_id").alias("videos_without_date"))
     return a.crossJoin(b).crossJoin(c)
+
+
+KEY_POINTS_SQL = """select (select count(distinct comment_id) from comments_no_pii) as comments, (select count(*) from dockets) as dockets, (select count(distinct article_id) from gdelt_news_articles) as articles,
+(select count(distinct domain) from gdelt_news_articles) as publishers, (select count(distinct video_id) from videos) as videos, (select arg_max(docket_id, (n, docket_id)) from (select docket_id, count(distinct comment_id) as n from comments_no_pii group by 1)) as largest_docket,
+(select round(100.0 * max(n) / sum(n), 2) from (select docket_id, count(distinct comment_id) as n from comments_no_pii group by 1)) as largest_share"""
+
+
+def key_points(comment_rows: DataFrame, docket_rows: DataFrame, article_rows: DataFrame, video_rows: DataFrame) -> DataFrame:
+    """One row of figures over all sources."""
+    per = comment_rows.groupBy("docket_id").agg(F.countDistinct("comment_id").alias("n"))
+    top = per.agg(F.max_by("docket_id", F.struct("n", "docket_id")).alias("largest_docket"), F.round(100.0 * F.max("n") / F.sum("n"), 2).alias("largest_share"))
+    parts = [
+        comment_rows.agg(F.countDistinct("comment_id").alias("comments")),
+        docket_rows.agg(F.count("*").alias("dockets")),
+        article_rows.agg(F.countDistinct("article_id").alias("articles"), F.countDistinct("domain").alias("publishers")),
+        video_rows.agg(F.countDistinct("video_id").alias("videos")),
+        top,
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out

@@ -1004,3 +1004,7 @@ def status_timeline(spark, d):
 @query(briefing.FOLLOWUPS_SQL)
 def followups(spark, d):
     return briefing.followups(_t(spark, d, "comments_no_pii"), _t(spark, d, "gdelt_news_articles"), _t(spark, d, "videos"))
+
+
+# Queries of further operators register themselves.
+from quarrylight import more_queries  # noqa: E402, F401

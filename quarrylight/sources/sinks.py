@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,35 @@ def document(df: DataFrame, keys: list[str], order: Column, line: Column) -> Dat
 
 def report_line(template: str, *columns: Column) -> Column:
     return F.format_string(template, *columns)
+
+
+def whole(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A table that readers see as a whole or not at all: the commit protocol moves finished files in."""
+    df.write.mode("overwrite").format(kind).save(path)
+
+
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """The table as written and read again, so that later stages start from it; an existing one is taken over as it is."""
+    spark = df.sparkSession
+    try:
+        return spark.read.schema(df.schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    whole(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def windows(df: DataFrame, path: str, window: str) -> None:
+    """Overwrites the windows that the rows are of, and no others: a window that failed is repeated by the next run."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(window).parquet(path)
+
+
+def version_link(proposed: Column, final: Column, checked_at: Column) -> Column:
+    """A JSON document that links two versions."""
+    return F.to_json(F.struct(proposed.alias("proposed"), final.alias("final"), checked_at.alias("checked_at")), {"ignoreNullFields": "false"})
+
+
+def review_line(url: Column, day: Column, title: Column) -> Column:
+    """A candidate for review as a line: address, date and title as a comment."""
+    return F.concat(url, F.lit("  # "), F.coalesce(day, F.lit("no date")), F.lit(" | "), F.coalesce(title, F.lit("")))
