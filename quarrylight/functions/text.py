@@ -193,7 +193,9 @@ def numeric_tokens(c: Column) -> Column:
     """Sorted set of the numbers of a text, without commas, labels of forms and visas left out, some number words counted."""
     low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"{_START}(?:(?:f|j|m|i|ds)-\d+|form\s+[a-z]+-?\d+){_STOP}", " ")
     digits = F.transform(F.regexp_extract_all(low, F.lit(rf"{_START}\d+(?:,\d{{3}})*(?:\.\d+)?{_STOP}"), F.lit(0)), lambda t: F.regexp_replace(t, ",", ""))
-    said = F.array_compact(F.array(*(F.when(low.rlike(rf"{_START}{w}{_STOP}"), F.lit(n)) for w, n in NUMBER_WORDS.items())))
+    words_said = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"{_START}({'|'.join(NUMBER_WORDS)}){_STOP}"), F.lit(1)))
+    known = F.create_map(*(F.lit(x) for kv in NUMBER_WORDS.items() for x in kv))
+    said = F.transform(words_said, lambda w: known[w])
     return F.array_sort(F.array_distinct(F.concat(digits, said)))
 
 

@@ -52,7 +52,7 @@ def _kind(line: str, counters: dict[str, int]) -> tuple[str, int, str, str] | No
 
 
 def parse_lines(doc_id: int, lines: list[str]) -> list[tuple]:
-    """Rows of SCHEMA for one document; a preamble before the first heading is section 1 without heading."""
+    """Rows of SCHEMA for one document; a preamble before the first heading is section 1 without heading, and no parent."""
     sections: list[dict] = []
     stack: list[dict] = []
     counters: dict[str, int] = {}
@@ -61,7 +61,7 @@ def parse_lines(doc_id: int, lines: list[str]) -> list[tuple]:
     def open_(level: int, label: str, heading: str | None, at: int) -> dict:
         while stack and stack[-1]["level"] >= level:
             stack.pop()
-        s = {"no": len(sections) + 1, "parent": stack[-1]["no"] if stack else None, "level": level, "label": label, "heading": heading, "first": at, "last": at, "p0": page, "p1": page, "paras": [], "notes": [], "open": False}
+        s = {"no": len(sections) + 1, "parent": stack[-1]["no"] if stack and stack[-1]["level"] else None, "level": level, "label": label, "heading": heading, "first": at, "last": at, "p0": page, "p1": page, "paras": [], "notes": [], "open": False}
         sections.append(s)
         stack.append(s)
         return s

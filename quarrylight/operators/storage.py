@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint, in the folder that the session names; one of our own only where it names none."""
+    """The rows as a reliable checkpoint in the folder that the session names (``spark.checkpoint.dir``).
+
+    A local session that names none, as in tests, gets a folder of its own; on a cluster that is an error, as executors
+    share no folder of the driver.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrylight-"))
     return df.checkpoint(eager=True)

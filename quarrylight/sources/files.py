@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from csv import reader
 from functools import reduce
 from xml.etree import ElementTree
 
@@ -22,10 +23,11 @@ class TooFewRows(ValueError):
 def csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None, at_least: int = 0) -> DataFrame:
     """A CSV with quoted line breaks; bad rows keep what parses, with the raw row in ``_bad``.
 
-    Raises if a required column is missing from the header or fewer rows come than asked for.
+    Raises if a required column is missing from the header or fewer rows come than asked for.  Quoted line breaks make a
+    file the unit of work, so large tables come in many files.
     """
     head = spark.read.text(path).limit(1).first()
-    names = [h.strip().strip('"').lstrip("﻿") for h in head[0].split(",")] if head else []
+    names = [h.strip() for h in next(reader([head[0].lstrip("﻿")]))] if head else []
     if missing := [c for c in required or [] if c not in names]:
         raise ValueError(f"columns missing from {path}: {', '.join(missing)}")
     df = (
