@@ -1,16 +1,5 @@
 """Helpers of the training-data operators."""
 
-from __future__ import annotations
+from quarrylight.operators.storage import cut
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder that the cluster names; a folder of its own only where none is named, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrylight-"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut"]

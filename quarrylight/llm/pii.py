@@ -5,10 +5,11 @@ numbers and street addresses, written, disguised or spoken, and names by the
 words that introduce or follow them.  Cheap tests decide which of the patterns a
 text is searched for; each is implied by a match of its pattern, so none is lost.
 
-Replacement is format-preserving: the digits of numbers and dates run through a
-keyed Feistel permutation of all digit strings of their length, separators stay,
-and e-mail addresses, addresses and names get a keyed tag.  Equal values thus
-keep equal placeholders in every document, and the key undoes the numbers.
+Replacement is format-preserving: digits and letters of numbers and dates run
+through a keyed Feistel permutation of their format, separators stay, and valid
+values (numbering plan, areas, check digits, dates) become valid ones.  E-mail
+addresses, addresses and names get a keyed tag.  Equal values thus keep equal
+placeholders in every document, and the key undoes the numbers.
 
 Defined results: null and blank texts have no items and stay as they are; a
 repeated row counts once; offsets count code points, end exclusive; of
@@ -18,8 +19,10 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
@@ -57,7 +60,7 @@ _ID_SAID = re.compile(r"\b(?:file|case|passport|social(?: security)?|receipt|rec
 
 _ID = re.compile(
     rf"{_L}(?:[a-z]{{3}}-\d{{2}}-\d{{3}}-\d{{5}}|[a-z]{{3}}\d{{10}}|[a-z]-\d{{3}}-\d{{3}}-\d{{3}}|[a-z]-\d{{7}}-[a-z]|[a-z] ?\d{{2}} \d{{4}} \d{{4}}|[a-z] \d{{3}} \d{{3}} \d{{3}}|[a-z]{{3}} \d{{2}} \d{{3}} \d{{5}}"
-    rf"|[a-z]{{2}} ?\d{{7}}|[a-z]\d{{7,10}}|\d{{3}}([ .-])\d{{2}}\1\d{{4}}|\d{{4}} \d{{4}} \d{{4}}|\d{{9}}){_R}",
+    rf"|[a-z]{{2}} ?\d{{7}}|[a-z]\d{{7,10}}|\d{{3}}([ .-])\d{{2}}\1\d{{4}}|\d{{4}}(?P<gap>[ -])\d{{4}}(?P=gap)\d{{4}}(?P=gap)\d{{4}}|\d{{4}} \d{{4}} \d{{4}}(?! \d{{4}}(?!\d))|\d{{9}}){_R}",
     _I,
 )
 
@@ -170,7 +173,7 @@ def _signature_names(text: str, low: str, out: list[Item]) -> None:
     starts = {a for a, _, kind in out if kind != "NAME"}
     for n, (start, line) in enumerate(lines[:-2]):
         below = lines[n + 2]
-        if below[0] in starts and len(line) < 45 and (m := _LINE_NAME.match(line)):
+        if below[0] in starts and (m := _LINE_NAME.match(line)):
             out.append((start + m.start("n"), start + m.end("n"), "NAME"))
 
 
@@ -231,30 +234,100 @@ _ROUNDS = 8
 
 
 def _feistel(digits: str, key: bytes, undo: bool = False) -> str:
-    """A keyed permutation of the digit strings of this length (unbalanced Feistel network over decimal halves)."""
-    n = len(digits)
+    """A keyed permutation of the digit strings of this length."""
+    return "".join(map(str, _permuted([int(c) for c in digits], [10] * len(digits), key, undo)))
+
+
+def _permuted(values: list[int], radices: list[int], key: bytes, undo: bool = False) -> list[int]:
+    """A keyed permutation of all values of these radices (unbalanced Feistel network over the halves, in mixed radix)."""
+    n = len(values)
     if n < 2:
-        return digits
+        return values
     u = n // 2
-    v = n - u
-    a, b = int(digits[:u]), int(digits[u:])
-    mod = (10**u, 10**v)
+    parts = [(values[:u], radices[:u]), (values[u:], radices[u:])]
+    mod = [math.prod(r) for _, r in parts]
+    a, b = (functools.reduce(lambda x, vr: x * vr[1] + vr[0], zip(v, r), 0) for v, r in parts)
+    shape = "".join("d" if r == 10 else "a" for r in radices).encode()
     for i in reversed(range(_ROUNDS)) if undo else range(_ROUNDS):
         # Even rounds change the left half by the right one, odd rounds the other way round.
         source = b if i % 2 == 0 else a
-        f = int.from_bytes(hmac.digest(key, b"%d|%d|%d|%d" % (n, i, u, source), "sha256")[:12], "big")
+        f = int.from_bytes(hmac.digest(key, b"%s|%d|%d" % (shape, i, source), "sha256")[:16], "big")
         if i % 2 == 0:
             a = (a - f if undo else a + f) % mod[0]
         else:
             b = (b - f if undo else b + f) % mod[1]
-    return f"{a:0{u}d}{b:0{v}d}"
+    out: list[int] = []
+    for x, (_, rs) in zip((b, a), reversed(parts)):
+        for r in reversed(rs):
+            x, v = divmod(x, r)
+            out.append(v)
+    return out[::-1]
+
+
+def _luhn(d: str) -> bool:
+    return sum(n if i % 2 == 0 else n * 2 - 9 * (n > 4) for i, n in enumerate(map(int, reversed(d)))) % 10 == 0
+
 
+#: Validators of digit strings, by (kind, number of digits): numbering plan, areas of social numbers, check digits of cards.
+_VALID = {
+    ("PHONE", 10): lambda d: d[0] > "1" and d[3] > "1",
+    ("ID_NUMBER", 9): lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000",
+    ("ID_NUMBER", 16): _luhn,
+}
 
-def permute_number(value: str, key: bytes, undo: bool = False) -> str:
-    """The value with its digits permuted; other characters stay where they are."""
-    digits = "".join(str(int(c)) for c in value if c.isdecimal())
-    new = iter(_feistel(digits, key, undo))
-    return "".join(next(new) if c.isdecimal() else c for c in value)
+
+def permute_digits(digits: str, kind: str, key: bytes, undo: bool = False) -> str:
+    """A digit string for a digit string of its length: a valid one for a valid one, another for another (walking on until one is met)."""
+    valid = _VALID.get((kind, len(digits)), lambda d: True)
+    want = valid(digits)
+    while True:
+        digits = _feistel(digits, key, undo)
+        if valid(digits) == want:
+            return digits
+
+
+_COUNTRY = re.compile(r"\+(?:1(?!\d{0,2}[ .\-/(]?\d{0,2}$)|7|\d{1,3}(?=[ .\-/(])|\d\d)|1(?=[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d))")
+_EXTENSION = re.compile(rf"{_EXT}$", _I)
+
+
+def permute_number(value: str, key: bytes, undo: bool = False, kind: str = "PHONE") -> str:
+    """The value with its digits and, in identity numbers, letters permuted; other characters stay where they are.
+
+    The country code of a telephone number stays, and its extension is permuted on its own, so a number is linked to
+    itself with and without them.
+    """
+    start, end = 0, len(value)
+    tail = ""
+    if kind == "PHONE":
+        if m := _EXTENSION.search(value):
+            end = m.start()
+            tail = permute_number(value[end:], key, undo, "EXTENSION")
+        if m := _COUNTRY.match(value):
+            start = m.end()
+    head, body = value[:start], value[start:end]
+    if kind == "ID_NUMBER" and any(c.isascii() and c.isalpha() for c in body):
+        at = [i for i, c in enumerate(body) if c.isascii() and c.isalnum()]
+        letter = [body[i].isalpha() for i in at]
+        values = [ord(body[i].lower()) - 97 if x else int(body[i]) for i, x in zip(at, letter)]
+        new = _permuted(values, [26 if x else 10 for x in letter], key, undo)
+        chars = list(body)
+        for i, x, v in zip(at, letter, new):
+            chars[i] = (chr(v + 97).upper() if body[i].isupper() else chr(v + 97)) if x else str(v)
+        return head + "".join(chars) + tail
+    digits = "".join(str(int(c)) for c in body if c.isdecimal())
+    new_digits = iter(permute_digits(digits, kind, key, undo))
+    return head + "".join(next(new_digits) if c.isdecimal() else c for c in body) + tail
+
+
+def said_digits(value: str) -> str:
+    """The digits of a spoken number; ``double`` and ``triple`` repeat the next one."""
+    out, times = "", 1
+    for w in re.findall(r"[a-z]+", value.lower()):
+        if w in ("double", "triple"):
+            times = 2 if w == "double" else 3
+        elif w in _WORDS:
+            out, times = out + _WORDS[w] * times, 1
+    return out
 
 
 def permute_date(year: int, month: int, day: int, key: bytes, undo: bool = False) -> tuple[int, int, int]:
@@ -272,16 +345,22 @@ def permute_date(year: int, month: int, day: int, key: bytes, undo: bool = False
 
 
 _WORDS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_BORN = re.compile(r"\b(?:born(?: on)?|date of birth:?|dob:?)\s(\d{4})-(\d{2})-(\d{2})\b", _I)
+_MONTHS = "january february march april may june july august september october november december".split()
+_MONTH = "|".join(_MONTHS)
+_BORN = re.compile(
+    rf"\b(?:born(?:\son)?|date\sof\sbirth:?|dob:?)\s(?:(?P<y>\d{{4}})-(?P<m>\d{{2}})-(?P<d>\d{{2}})|(?P<d2>\d{{1,2}})\s(?P<m2>{_MONTH})\s(?P<y2>\d{{4}})|(?P<m3>{_MONTH})\s(?P<d3>\d{{1,2}}),?\s(?P<y3>\d{{4}})"
+    r"|(?P<m4>\d{1,2})/(?P<d4>\d{1,2})/(?P<y4>\d{4}))\b",
+    _I,
+)
 
 
 def placeholder(value: str, kind: str, key: bytes) -> str:
-    """Typed placeholder; equal for values that are equal but for case, spacing, separators and spelling of digits."""
+    """Typed placeholder; its digits and letters are equal for values that are equal but for case, spacing, separators and spelling."""
     if kind in ("PHONE", "ID_NUMBER"):
         if any(c.isdecimal() for c in value):
-            return f"[{kind} {permute_number(value, key)}]"
-        digits = "".join(_WORDS.get(w, "") for w in re.findall(r"[a-z]+", value.lower()))
-        return f"[{kind} {_feistel(digits, key)}]"
+            return f"[{kind} {permute_number(value, key, kind=kind)}]"
+        number, *extension = re.split(r",?\s(?:extension|ext\.?)\s", value, flags=_I)
+        return f"[{kind} {' x'.join([permute_digits(said_digits(number), kind, key), *(_feistel(said_digits(e), key) for e in extension)])}]"
     plain = value.lower()
     if kind == "EMAIL":
         plain = re.sub(r"\s?(?:&#64;|&commat;|＠|[\[({]\s?at\s?[\])}]|\bat\b)\s?", "@", plain)
@@ -303,11 +382,20 @@ def redact(text: str | None, key: bytes) -> str | None:
     out.append(text[at:])
 
     def born(m: re.Match[str]) -> str:
+        which = next(k for k in ("", "2", "3", "4") if m[f"y{k}"])
+        year, month, day = (m[f"{c}{which}"] for c in "ymd")
+        named = not month.isdigit()
         try:
-            y, mo, d = permute_date(int(m[1]), int(m[2]), int(m[3]), key)
+            new = permute_date(int(year), _MONTHS.index(month.lower()) + 1 if named else int(month), int(day), key)
         except ValueError:
             return m[0]
-        return m[0][: m.start(1) - m.start()] + f"{y:04d}-{mo:02d}-{d:02d}"
+        y, mo, d = new
+        shown = {"y": f"{y:04d}", "m": _MONTHS[mo - 1].capitalize() if named else f"{mo:0{len(month)}d}", "d": f"{d:0{len(day)}d}"}
+        out = m[0]
+        for c in sorted("ymd", key=lambda c: -m.start(f"{c}{which}")):
+            a, b = (x - m.start() for x in m.span(f"{c}{which}"))
+            out = out[:a] + shown[c] + out[b:]
+        return out
 
     return _BORN.sub(born, "".join(out))
 
