@@ -9,7 +9,8 @@ iterations on all sources at once sum the dual's derivatives over the documents
 with one distributed aggregation each, on a histogram of sizes that has the same
 sums.  Rates are then rounded to copies: of the fractions, what
 rounding leaves over is carried from long to short documents, so that the tokens of a source stay within one document of its
-target, and mostly much closer; ranks are taken inside (source, size, slot), never over a source.
+target, and mostly much closer; ranks are taken inside (source, size, slot), never over
+a source, and the number of slots grows with the corpus.
 
 The total is the largest that every present source can supply within its
 ``max_repeats``; ``budget`` asks for a smaller one.  The shares of sources without
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from quarrylight.llm import tokens
 from quarrylight.llm.common import cut
 
-#: Slots by which documents of one source and size are spread.
-SLOTS = 64
-#: Newton: iterations at most, relative error of the token constraint, and the longest step in u.
-STEPS, EXACT, LONGEST = 40, 1e-6, 4.0
+#: Slots by which documents of one source and size are spread, at least, and documents of the corpus for each.
+SLOTS, PER_SLOT = 64, 1_000_000
+#: Newton: relative error of the token constraint, and the longest step in u.
+EXACT, LONGEST = 1e-6, 4.0
 
 
 def _wanted(targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -50,15 +51,14 @@ def balance(histogram: DataFrame, goals: dict[str, tuple[float, int, float]]) ->
     """u of each source by damped Newton steps; ``goals``: source -> (target tokens, cap, mean size).
 
     Works on the logarithm of the token sum, in which the steps are nearly exact: with S(u) the tokens at u, the step is
-    (log target - log S) / (log S)'.  A bracket keeps the steps safe where the cap flattens the sum.
+    (log target - log S) / (log S)'.  A bracket keeps the steps safe where the cap flattens the sum; it halves from then on,
+    so every source ends at its target or where no other number lies between.
     """
     spark = histogram.sparkSession
     u = dict.fromkeys(goals, 0.0)
     low, high = {s: -math.inf for s in goals}, {s: math.inf for s in goals}
     open_ = set(goals)
-    for _ in range(STEPS):
-        if not open_:
-            break
+    while open_:
         now = spark.createDataFrame(
             [(s, u[s], float(goals[s][1]), goals[s][2]) for s in open_], "source string, u double, cap double, mean double"
         )
@@ -87,20 +87,20 @@ def balance(histogram: DataFrame, goals: dict[str, tuple[float, int, float]]) ->
     return u
 
 
-def _quotas(slots: pd.DataFrame) -> pd.DataFrame:
-    """How many documents of each slot get one copy more than the whole part of their rate.
+def _quotas(sizes: pd.DataFrame) -> pd.DataFrame:
+    """How many documents of each size get one copy more than the whole part of their rate.
 
-    One source at a time: a row per size and slot, so the longest text bounds the table, not the corpus.  What a slot's
-    rounding leaves over in tokens is carried to the next, shorter one, so the last leaves over less than a short document.
+    One source at a time: a row per size, so the longest text bounds the table, not the corpus.  What a size's rounding
+    leaves over in tokens is carried to the next, shorter one, so the last leaves over less than a short document.
     """
-    slots = slots.sort_values(["n_tokens", "slot"], ascending=[False, True])
+    sizes = sizes.sort_values("n_tokens", ascending=False)
     quota, owed = [], 0.0
-    for t, n, part in zip(slots.n_tokens, slots.n, slots.part):
+    for t, n, part in zip(sizes.n_tokens, sizes.n, sizes.part):
         owed += part * n * t
         q = min(n, max(0, math.floor(owed / t + 0.5)))
         owed -= q * t
         quota.append(q)
-    return slots.assign(quota=quota)[["source", "n_tokens", "slot", "base", "quota"]]
+    return sizes.assign(quota=quota)[["source", "n_tokens", "n", "base", "quota"]]
 
 
 def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, folder: str = tokens.TOKENIZERS, name: str = tokens.NAME) -> tuple[DataFrame, DataFrame]:
@@ -113,13 +113,14 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, fol
     spark = documents.sparkSession
     docs = documents.select("doc_id", "source", "text").filter(F.col("doc_id").isNotNull())
     sized = cut(tokens.sizes(docs, "doc_id", "source", folder=folder, name=name).dropDuplicates(["doc_id"]))
-    sized = sized.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
     wanted = _wanted(targets)
     usable = sized.filter(F.col("source").isin(list(wanted)) & (F.col("n_tokens") > 0))
     histogram = cut(usable.groupBy("source", "n_tokens").agg(F.count("*").alias("n")))
 
     held = histogram.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n_tokens")).alias("t")).collect()
     present = {r.source: (wanted[r.source][0], wanted[r.source][1], r.t, r.t / r.n) for r in held if wanted[r.source][0] > 0 and wanted[r.source][1] > 0}
+    # Slots grow with the corpus, so the documents that are ranked in one don't.
+    slots = max(SLOTS, -(-sum(r.n for r in held) // PER_SLOT))
     whole = sum(share for share, *_ in present.values())
     reach = min((cap * t * whole / share for share, cap, t, _ in present.values()), default=0.0)
     total = reach if budget is None else min(reach, float(budget))
@@ -135,13 +136,19 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, fol
     tilted = F.least(F.col("cap"), F.exp(F.least(F.col("u") * F.col("n_tokens") / F.col("mean"), F.lit(50.0))))
     rate = F.coalesce(tilted, F.col("cap"))
 
-    # Rounding: whole parts first; the fractions are given out slot by slot, from long documents to short ones.
-    slots = usable.groupBy("source", "n_tokens", "slot").agg(F.count("*").alias("n")).join(F.broadcast(rule), "source")
-    slots = slots.select("source", "n_tokens", "slot", "n", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("part"))
-    quotas = slots.groupBy("source").applyInPandas(_quotas, "source string, n_tokens long, slot int, base long, quota long")
+    # Rounding: whole parts first; the fractions are given out by size, from long documents to short ones, then evenly to slots.
+    rates = histogram.join(F.broadcast(rule), "source").select("source", "n_tokens", "n", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("part"))
+    quotas = rates.groupBy("source").applyInPandas(_quotas, "source string, n_tokens long, n long, base long, quota long")
+    placed = usable.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int"))
+    over = Window.partitionBy("source", "n_tokens").orderBy("slot")
+    upto = placed.groupBy("source", "n_tokens", "slot").agg(F.count("*").alias("here")).withColumn("upto", F.sum("here").over(over))
+    given = lambda m: F.floor(F.col("quota") * m / F.col("n"))
+    slotted = upto.join(quotas, ["source", "n_tokens"]).select(
+        "source", "n_tokens", "slot", "base", (given(F.col("upto")) - given(F.col("upto") - F.col("here"))).alias("quota")
+    )
     rank = Window.partitionBy("source", "n_tokens", "slot").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     copies = (
-        usable.join(quotas, ["source", "n_tokens", "slot"])
+        placed.join(slotted, ["source", "n_tokens", "slot"])
         .withColumn("copies", F.col("base") + (F.row_number().over(rank) <= F.col("quota")).cast("long"))
         .filter("copies > 0")
         .select("doc_id", "source", "n_tokens", "copies")

@@ -10,7 +10,8 @@ neighbouring pair is the encoding of the pair's bytes, so agreement of the edge
 pairs makes the join exact, not approximate.
 
 Defined results: null and empty texts have an empty list of ids; blank texts have
-the ids of their blanks; strings of special tokens are ordinary text; other
+the ids of their blanks; strings of special tokens are ordinary text; a repeated row comes out again,
+unless its text is long; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -172,18 +173,19 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column(0)[i].as_py()] * n, batch.column(0).type),
+                        pa.array([batch.column(2)[i].as_py()] * n, pa.int64()),
                         pa.array(range(n), pa.int32()),
                         pa.array([sure for _, sure in at[:-1]], pa.bool_()),
                         pa.array([t[a:b] for (a, _), (b, _) in zip(at, at[1:])], pa.string()),
                     ],
-                    ["key", "part", "sure", "text"],
+                    ["key", "hash", "part", "sure", "text"],
                 )
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(folder, name)
         for batch in batches:
-            ids = pa.array([enc.encode_ordinary(t) for t in batch.column(3).to_pylist()], _LIST)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["key", "part", "sure", "text", "ids"])
+            ids = pa.array([enc.encode_ordinary(t) for t in batch.column(4).to_pylist()], _LIST)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["key", "hash", "part", "sure", "text", "ids"])
 
     def join_rows(table: pa.Table) -> pa.Table:
         parts = sorted(table.to_pylist(), key=lambda r: r["part"])
@@ -192,19 +194,21 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
 
     is_long = F.coalesce(F.length("text") > long, F.lit(False))
     short = rows.filter(~is_long).mapInArrow(short_rows, f"key {kind}, ids array<int>")
-    # Parts of one text go to as many tasks; rows that repeat a key with a long text count once.
+    # Parts of one text go to as many tasks; equal rows with a long text come out once, texts that share a key apart.
+    part = f"key {kind}, hash long, part int, sure boolean, text string"
     parts = (
         rows.filter(is_long)
-        .mapInArrow(cut_rows, f"key {kind}, part int, sure boolean, text string")
-        .repartition("key", "part")
-        .mapInArrow(encode_parts, f"key {kind}, part int, sure boolean, text string, ids array<int>")
+        .withColumn("hash", F.xxhash64("text"))
+        .mapInArrow(cut_rows, part)
+        .repartition("key", "hash", "part")
+        .mapInArrow(encode_parts, f"{part}, ids array<int>")
     )
-    joined = parts.dropDuplicates(["key", "part"]).groupBy("key").applyInArrow(join_rows, f"key {kind}, ids array<int>")
+    joined = parts.dropDuplicates(["key", "hash", "part"]).groupBy("key", "hash").applyInArrow(join_rows, f"key {kind}, ids array<int>")
     return short.unionByName(joined).withColumnRenamed("key", key)
 
 
-def sizes(documents: DataFrame, *keep: str, text: str = "text", folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
-    """The kept columns with ``n_tokens`` of each row; null and empty texts have 0."""
+def sizes(documents: DataFrame, *keep: str, text: str = "text", folder: str = TOKENIZERS, name: str = NAME, long: int = LONG) -> DataFrame:
+    """The kept columns with ``n_tokens`` of each row; null and empty texts have 0.  Long texts are counted through their parts."""
     out = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,4 +217,9 @@ def sizes(documents: DataFrame, *keep: str, text: str = "text", folder: str = TO
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
-    return documents.select(*keep, text).mapInArrow(run, out)
+    is_long = F.coalesce(F.length(text) > long, F.lit(False))
+    short = documents.filter(~is_long).select(*keep, text).mapInArrow(run, out)
+    large = documents.filter(is_long).select(*keep, F.col(text).alias("_text"), F.md5(text).alias("_md5"))
+    ids = encode(large.groupBy("_md5").agg(F.first("_text").alias("_text")), "_md5", "_text", folder, name, long)
+    counted = large.drop("_text").join(ids.select("_md5", F.size("ids").cast("long").alias("n_tokens")), "_md5")
+    return short.unionByName(counted.drop("_md5"))

@@ -33,5 +33,8 @@ def test_operator(spark):
     df = spark.createDataFrame([(k, t, 1) for k, t in texts.items()], "doc_id long, text string, ids int")
     got = {r.doc_id: r.ids for r in K.encode(df, long=500).collect()}
     assert got == {k: enc.encode_ordinary(t) if t else [] for k, t in texts.items()}
-    assert {r.doc_id: r.n_tokens for r in K.sizes(df, "doc_id").collect()} == {k: len(v) for k, v in got.items()}
+    for long in (500, 20_000):
+        assert {r.doc_id: r.n_tokens for r in K.sizes(df.unionAll(df.filter("doc_id = 7")), "doc_id", long=long).collect()} == {k: len(v) for k, v in got.items()}
+    two = spark.createDataFrame([(1, "a " * 900), (1, "b " * 900), (1, "a " * 900)], "doc_id long, text string")
+    assert sorted(r.ids for r in K.encode(two, long=500).collect()) == sorted(enc.encode_ordinary(x * 900) for x in ("a ", "b "))
     assert K.encode(df.limit(0)).count() == 0
