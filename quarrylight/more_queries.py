@@ -492,3 +492,88 @@ def version_matches(spark, d):
 @query(briefing.KEY_POINTS_SQL)
 def key_points(spark, d):
     return briefing.key_points(_t(spark, d, "comments_no_pii"), _t(spark, d, "dockets"), _t(spark, d, "gdelt_news_articles"), _t(spark, d, "videos"))
+
+
+# -- panels and terms -------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"with {_checked_sql} select verdict, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct, round(avg(o_totalprice), 2) as mean, min(o_totalprice) as least, max(o_totalprice) as most from f join orders on o_orderkey = claim_id group by verdict"
+)
+def panel_verdicts(spark, d):
+    """Shares of verdicts, with the mean and range of a score; totals of orders stand for scores."""
+    rows = _checked(spark, d).join(_t(spark, d, "orders").select(C("o_orderkey").alias("claim_id"), "o_totalprice"), "claim_id")
+    return briefing.shares(rows, "verdict", "o_totalprice")
+
+
+@query(
+    f"""with {_checked_sql} select claim_id, o_totalprice as weight, array_to_string(evidence_ids[1:2], ',') as cited, rank from (select f.*, o_totalprice, row_number() over (order by o_totalprice desc, claim_id) as rank from f join orders on o_orderkey = claim_id where verdict = 'contradicted') where rank <= 20"""
+)
+def panel_contradicted(spark, d):
+    """The heaviest contradicted claims with two citations at most."""
+    rows = _checked(spark, d).filter("verdict = 'contradicted'").join(_t(spark, d, "orders").select(C("o_orderkey").alias("claim_id"), C("o_totalprice").alias("weight")), "claim_id")
+    top = rows.orderBy(F.desc("weight"), "claim_id").limit(20)
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("weight"), "claim_id"))
+    return top.select("claim_id", "weight", F.array_join(F.slice(F.array_sort("evidence_ids"), 1, 2), ",").alias("cited"), rank.alias("rank"))
+
+
+_quota = {"en": 6, "de": 6, "fr": 2}
+
+
+@query(
+    """with a as (select distinct article_id, language, coalesce(seendate, '') as seen from gdelt_news_articles where language in ('en', 'de', 'fr')), r as (select *, row_number() over (partition by language order by seen desc, article_id) as rank from a)
+select article_id, language as stance, rank from r where rank <= case language when 'fr' then 2 else 6 end"""
+)
+def panel_viewpoints(spark, d):
+    """A balanced choice: so many of the latest rows of each stance; languages stand for stances."""
+    a = _t(spark, d, "gdelt_news_articles").select("article_id", C("language").alias("stance"), F.coalesce("seendate", F.lit("")).alias("seen")).distinct()
+    return briefing.balanced(a, "stance", _quota, [F.desc("seen"), C("article_id")]).select("article_id", "stance", "rank")
+
+
+@query(
+    """with c as (select comment_id, max(coalesce(country, 'unknown')) as g, max(docket_id) as k from comments_no_pii group by 1), n as (select g, count(*) as n, count(distinct k) as dockets from c group by g), r as (select *, row_number() over (order by n desc, g) as big, row_number() over (order by n, g) as small from n where g <> 'unknown')
+select g as country, n, dockets, round(100.0 * n / (select sum(n) from n), 4) as pct, case when big <= 5 then 'largest' else 'smallest' end as list from r where big <= 5 or small <= 3"""
+)
+def panel_groups(spark, d):
+    """The five largest and the three smallest named groups with their shares of all."""
+    c = _t(spark, d, "comments_no_pii").groupBy("comment_id").agg(F.max(F.coalesce("country", F.lit("unknown"))).alias("g"), F.max("docket_id").alias("k"))
+    n = c.groupBy(C("g").alias("country")).agg(F.count("*").alias("n"), F.countDistinct("k").alias("dockets"))
+    return briefing.ends(n, "country", "n", 5, 3, ["unknown"])
+
+
+_reach = "floor(case when regexp_matches(upper(replace(trim(view_count), ',', '')), '^\\d+(?:\\.\\d+)?\\s*[KMB]?$') then round(regexp_extract(upper(replace(trim(view_count), ',', '')), '^(\\d+(?:\\.\\d+)?)', 1)::decimal(20,6) * case right(upper(trim(view_count)), 1) when 'K' then 1000 when 'M' then 1000000 when 'B' then 1000000000 else 1 end, 3) end)::bigint"
+
+
+@query(
+    f"""with v as (select video_id, max(lower(trim(platform))) as platform, max({_reach}) as views, bool_or(coalesce(published_date, '') < '2031') as old, max(coalesce(published_date, '')) as p from videos group by 1)
+select platform, count(*) as videos, coalesce(sum(views), 0)::bigint as reach, count(*) filter (where old) as outdated, arg_max(video_id, (coalesce(views, -1), video_id)) as most_viewed from v group by 1"""
+)
+def panel_reach(spark, d):
+    """Reach by platform, each video once, with what is out of date and the most viewed one."""
+    v = _t(spark, d, "videos").groupBy("video_id").agg(F.max(F.lower(F.trim("platform"))).alias("platform"), F.max(T.human_count(C("view_count"))).alias("views"), F.bool_or(F.coalesce("published_date", F.lit("")) < "2031").alias("old"))
+    return v.groupBy("platform").agg(
+        F.count("*").alias("videos"), F.coalesce(F.sum("views"), F.lit(0)).alias("reach"), F.count_if("old").alias("outdated"), F.max_by("video_id", F.struct(F.coalesce("views", F.lit(-1)), "video_id")).alias("most_viewed")
+    )
+
+
+@query(
+    f"""with t as (select channel, unnest(t) as term from (select lower(trim(channel)) as channel, {_words('comment_clean')} as t from comments_no_pii where comment_clean is not null)), n as (select channel, term, count(*) as tf from t where length(term) >= 4 group by 1, 2),
+f as (select term, sum(tf) as f from n group by 1), s as (select sum(tf) * 1.0 / count(distinct channel) as a from n), w as (select channel, n.term, round(tf * ln(1 + a / f), 6) as weight from n join f using (term), s)
+select channel, term, weight, rank from (select *, row_number() over (partition by channel order by weight desc, term) as rank from w) where rank <= 10"""
+)
+def class_terms(spark, d):
+    """The terms that tell classes of texts apart, by class-based TF-IDF; channels stand for topics."""
+    from quarrylight.operators import lexical
+
+    c = _t(spark, d, "comments_no_pii").filter("comment_clean is not null").select(F.lower(F.trim("channel")).alias("channel"), F.filter(T.words(C("comment_clean")), lambda w: F.length(w) >= 4).alias("t"))
+    return lexical.class_terms(c, "channel", "t", 10)
+
+
+@query()
+def topic_model(spark, d):
+    """Clusters of vectors, -1 for outliers, with size and place: k-means in place of a density method, so an approximation."""
+    from quarrylight.operators import models
+
+    rows = models.topics(_t(spark, d, "embeddings"), "vec_id", "embedding")
+    size = rows.groupBy("topic").agg(F.count("*").alias("size"))
+    return rows.join(F.broadcast(size), "topic").select("vec_id", "topic", F.round("distance", 6).alias("distance"), "size")

@@ -70,3 +70,12 @@ def themes(docs: DataFrame, key: str, tokens: str, k: int = THEMES) -> tuple[Dat
     top = model.describeTopics(len(found.vocabulary)).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "t"))
     terms = top.select(F.col("topic").alias("theme"), F.element_at(names, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"), (F.col("at") + 1).alias("rank"))
     return rows, terms
+
+
+def class_terms(docs: DataFrame, label: str, tokens: str, k: int) -> DataFrame:
+    """(label, term, weight, rank): ``tf ln(1 + A / f)`` with tf in the class, f in all and A the mean number of tokens of a class; ties by term."""
+    n = docs.select(label, F.explode(tokens).alias("term")).groupBy(label, "term").agg(F.count("*").alias("tf"))
+    f = n.groupBy("term").agg(F.sum("tf").alias("f"))
+    mean = n.agg((F.sum("tf") / F.countDistinct(label)).alias("a"))
+    w = n.join(f, "term").crossJoin(F.broadcast(mean)).select(label, "term", F.round(F.col("tf") * F.log(1 + F.col("a") / F.col("f")), 6).alias("weight"))
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("weight"), "term"))).filter(F.col("rank") <= k)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
@@ -108,3 +108,21 @@ def ask(requests: DataFrame, key: str, request: str, build: Callable[[], Client]
 def echo_client() -> Client:
     """A stand-in: answers with the length and the first word of the request."""
     return lambda r: json.dumps({"length": len(r), "first": r.split()[0] if r.split() else ""})
+
+
+def topics(rows: DataFrame, key: str, vector: str, k: int = 8, beyond: float = 2.0) -> DataFrame:
+    """(key, topic, distance): k-means on vectors; topics are numbered by size, largest first, and rows farther from their centre
+    than ``beyond`` standard deviations over the mean are topic -1.  Null vectors have no row."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    points = rows.filter(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    model = KMeans(k=k, seed=42, featuresCol="v", predictionCol="c").fit(points)
+    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))
+    apart = F.zip_with(vector_to_array("v"), F.element_at(centres, F.col("c") + 1), lambda a, b: (a - b) * (a - b))
+    placed = model.transform(points).select(key, "c", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x)).alias("distance"))
+    limit = placed.agg((F.avg("distance") + beyond * F.coalesce(F.stddev("distance"), F.lit(0.0))).alias("limit"))
+    # A row per cluster.
+    order = placed.groupBy("c").agg(F.count("*").alias("n")).withColumn("no", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "c")) - 1)
+    out = placed.join(F.broadcast(order), "c").crossJoin(F.broadcast(limit))
+    return out.select(key, F.when(F.col("distance") > F.col("limit"), -1).otherwise(F.col("no")).alias("topic"), "distance")

@@ -114,3 +114,25 @@ def key_points(comment_rows: DataFrame, docket_rows: DataFrame, article_rows: Da
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
     return out
+
+
+def shares(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """(label, n, pct, mean, least, most) of a closed list of labels."""
+    n = rows.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(score), 2).alias("mean"), F.min(score).alias("least"), F.max(score).alias("most"))
+    return n.select(label, "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4).alias("pct"), "mean", "least", "most")
+
+
+def balanced(rows: DataFrame, stance: str, quota: dict[str, int], order: list) -> DataFrame:
+    """The first rows of each stance in order, as many as its quota; rows of other stances are left out."""
+    most = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv))[F.col(stance)]
+    named = rows.filter(F.col(stance).isin(*quota))
+    return named.withColumn("rank", F.row_number().over(Window.partitionBy(stance).orderBy(*order))).filter(F.col("rank") <= most)
+
+
+def ends(groups: DataFrame, name: str, n: str, largest: int, smallest: int, without: list[str]) -> DataFrame:
+    """The largest and the smallest groups of a short table, with their share of all; some names are counted but not listed."""
+    whole = groups.agg(F.sum(n).alias("_whole"))
+    named = groups.filter(~F.col(name).isin(*without))
+    big, small = named.orderBy(F.desc(n), name).limit(largest), named.orderBy(n, name).limit(smallest)
+    listed = big.withColumn("list", F.lit("largest")).unionByName(small.join(big.select(name), name, "left_anti").withColumn("list", F.lit("smallest")))
+    return listed.crossJoin(whole).withColumn("pct", F.round(100.0 * F.col(n) / F.col("_whole"), 4)).drop("_whole")
