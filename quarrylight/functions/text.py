@@ -217,6 +217,12 @@ def is_placeholder(c: Column) -> Column:
     return (text != "") & F.forall(parts, lambda s: s.rlike(pointer))
 
 
+def skip_reason(withdrawn: Column, text: Column, attachments: Column) -> Column:
+    """The first reason against a comment: withdrawn, no_text, placeholder, has_attachments; null if there is none."""
+    blank = strip(F.coalesce(text, F.lit(""))) == ""
+    return F.when(withdrawn, "withdrawn").when(blank, "no_text").when(is_placeholder(text), "placeholder").when(attachments, "has_attachments")
+
+
 def pages_of(c: Column) -> Column:
     """array<struct(page, text)> of a text with ``--- PAGE n ---`` markers."""
     numbers = F.regexp_extract_all(c, F.lit(r"--- PAGE (\d+) ---"), F.lit(1))

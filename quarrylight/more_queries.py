@@ -577,3 +577,56 @@ def topic_model(spark, d):
     rows = models.topics(_t(spark, d, "embeddings"), "vec_id", "embedding")
     size = rows.groupBy("topic").agg(F.count("*").alias("size"))
     return rows.join(F.broadcast(size), "topic").select("vec_id", "topic", F.round("distance", 6).alias("distance"), "size")
+
+
+_skip_sql = r"^(please\s+)?(see|refer\s+to)\s+(the\s+)?attach(ed|ment|ments)(\s+(file\(s\)|files?|letter|documents?|comments?|pdf))?[\s.!]*$"
+
+
+@query(
+    rf"""with x as (select comment_id, country is null as withdrawn, channel = 'mail_scan' as scanned, {_strip("coalesce(comment_clean, '')")} as t from comments_no_pii), p as (select *, list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') as p from x)
+select comment_id, case when withdrawn then 'withdrawn' when t = '' then 'no_text' when len(list_filter(p, lambda s: not regexp_matches(s, '(?i){_skip_sql}'))) = 0 then 'placeholder' when scanned then 'has_attachments' end as reason from p"""
+)
+def skip_reasons(spark, d):
+    """The first reason against a comment, in order; null for those that stay.  Nulls and scans stand for withdrawn ones and attachments."""
+    c = _t(spark, d, "comments_no_pii")
+    return c.select("comment_id", T.skip_reason(C("country").isNull(), C("comment_clean"), F.coalesce(C("channel") == "mail_scan", F.lit(False))).alias("reason"))
+
+
+_HIDE = ["Stay Bureau", "Alwenmore State University", "Ann (x)"]
+
+
+@query(
+    "select comment_id, "
+    + "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(comment_clean, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+\\.[\\p{L}\\p{N}_.-]+', '[removed]', 'g'), '(?:\\+?1[ .-]?)?\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}', '[removed]', 'g'),"
+    + " '(^|[^\\p{L}\\p{N}_])((?i:my name is|this is|i''m|i am))\\s+((?i:(?:attorney|lawyer|dr\\.?)\\s+)?)[A-Z][\\p{L}\\p{N}_''-]+(?:[\\s-]+[A-Z][\\p{L}\\p{N}_''-]+){0,3}', '\\1\\2 \\3[name]', 'g'), '(?i)alwenmore state university', '[creator]', 'g'), '(?i)stay bureau', '[creator]', 'g')"
+    + " as scrubbed from comments_no_pii"
+)
+def scrub_names(spark, d):
+    """Scrubbing with a list of names, longest first."""
+    return _t(spark, d, "comments_no_pii").select("comment_id", T.scrub(C("comment_clean"), _HIDE).alias("scrubbed"))
+
+
+@query(
+    f"""with c as (select docket_id as q, docket_title as x, strftime(closes_at, '%Y-%m-%d') as as_of from dockets), arts as (select article_id as id, max(coalesce(title, '') || ' ' || coalesce(article_text, '')) as x, max({_seen_on('seendate')}) as available, max(language) as language, max(domain) as domain, max(sourcecountry) as country, bool_or(article_text is not null) as whole from gdelt_news_articles group by 1),
+{_rank_sql('g', 'arts', 'c')} select docket_id, article_id, score, rank from (select q as docket_id, g_s.id as article_id, score, row_number() over (partition by q order by score desc, g_s.id) as rank from g_s join c using (q) join arts on arts.id = g_s.id
+where language in ('en', 'de') and country in ('Calderland', 'Wexmark', 'Norvania') and whole and not domain like 'harrow%' and (available is null or as_of is null or available <= as_of)) where rank <= 5"""
+)
+def filtered_search(spark, d):
+    """Retrieval under five filters and an as-of date, all applied after the statistics of the whole corpus."""
+    asked = _t(spark, d, "dockets").select("docket_id", "docket_title", F.date_format("closes_at", "yyyy-MM-dd").alias("as_of"))
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("article_text", F.lit("")))
+    a = _t(spark, d, "gdelt_news_articles").groupBy("article_id").agg(
+        F.max(text).alias("x"), F.max(T.compact_date(C("seendate"))).alias("available"), F.max("language").alias("language"), F.max("domain").alias("domain"), F.max("sourcecountry").alias("country"), F.bool_or(C("article_text").isNotNull()).alias("whole")
+    )
+    scores = search.bm25(a, "article_id", "x", asked, "docket_id", "docket_title").join(asked.select("docket_id", "as_of"), "docket_id")
+    fits = a.filter(C("language").isin("en", "de") & C("country").isin("Calderland", "Wexmark", "Norvania") & C("whole") & ~C("domain").startswith("harrow")).select("article_id", "available")
+    timely = scores.join(fits, "article_id").filter(search.as_of(C("available"), C("as_of"))).select("docket_id", "article_id", "score")
+    return search.top_k(timely, "docket_id", "article_id", 5)
+
+
+@query()
+def designators(spark, d):
+    """Places of paragraph designators such as (a)(1)(ii) in the lines of documents."""
+    from quarrylight.operators import sections
+
+    return sections.designators(_t(spark, d, "documents"), "doc_id", "text")

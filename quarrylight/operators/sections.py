@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +115,62 @@ def parse(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             yield out
 
     return documents.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(run, SCHEMA)
+
+
+#: What numbers the levels of designators, from the outermost: letters, digits, Roman numerals, capitals, and so on.
+_LEVELS = ("letter", "digit", "roman", "capital", "digit", "roman")
+_DESIGNATOR = re.compile(r"^\s*((?:\((?:[A-Za-z]|\d{1,3}|[ivxl]{1,7})\)\s*)+)")
+
+
+def ordinals(token: str) -> dict[str, int]:
+    """The readings of a designator: kind -> number from 1."""
+    out = {}
+    if token.isdigit():
+        out["digit"] = int(token)
+    elif len(token) == 1:
+        out["letter" if token.islower() else "capital"] = ord(token.lower()) - 96
+    if (n := next((i for i in range(1, 50) if roman(i).lower() == token), None)) is not None:
+        out["roman"] = n
+    return out
+
+
+def place(stack: list[int], token: str) -> tuple[list[int], bool]:
+    """(new stack, regular): where a designator goes, by the number that each open level expects next.
+
+    The next number of an open level is preferred, the innermost first, then the first number of a new level below.  What
+    fits nowhere opens the outermost level of its kind and isn't regular.
+    """
+    read = ordinals(token)
+    for level in range(len(stack) - 1, -1, -1):
+        if read.get(_LEVELS[level]) == stack[level] + 1:
+            return [*stack[:level], stack[level] + 1], True
+    if len(stack) < len(_LEVELS) and read.get(_LEVELS[len(stack)]) == 1:
+        return [*stack, 1], True
+    level = next((i for i, kind in enumerate(_LEVELS) if kind in read and i <= len(stack)), None)
+    return (stack, False) if level is None else ([*stack[:level], read[_LEVELS[level]]], False)
+
+
+def designators(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, path, level, regular) of the lines that begin with designators; each document on its own, lines from 1.
+
+    Null texts have no rows.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                stack: list[int] = []
+                for n, line in enumerate(t.split("\n"), 1):
+                    if not (m := _DESIGNATOR.match(line)):
+                        continue
+                    regular = True
+                    for token in re.findall(r"\((\w+)\)", m[1]):
+                        stack, fits = place(stack, token)
+                        regular &= fits
+                    rows.append((k, n, ".".join(map(str, stack)), len(stack), regular))
+            types = (batch.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], [key, "line_no", "path", "level", "regular"])
+
+    return documents.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, line_no int, path string, level int, regular boolean")

@@ -104,3 +104,20 @@ def test_section_tree(spark):
     got = sections.parse(df).orderBy("section_no").collect()
     assert [(r.section_no, r.parent_no, r.label, r.heading) for r in got] == [(1, None, "", None), (2, None, "I", "First"), (3, 2, "A", "Sub"), (4, None, "II", "Second"), (5, 4, "1", "Deep")]
     assert got[1].paragraphs == ["wrapped paragraph one"] and got[2].notes == ["1 a note"] and got[4].page_end == 4
+
+
+def test_designators(spark):
+    text = "(a) one\n(1) two\n(i) three\nplain\n(ii) four\n(2)(i) five\n(b) six\n(h) seven\n(i) eight\n(j) nine"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "none here")], "doc_id long, text string")
+    got = [(r.line_no, r.path, r.regular) for r in sections.designators(df, "doc_id", "text").orderBy("line_no").collect()]
+    assert got == [(1, "1", True), (2, "1.1", True), (3, "1.1.1", True), (5, "1.1.2", True), (6, "1.2.1", True), (7, "2", True), (8, "8", False), (9, "9", True), (10, "10", True)]
+
+
+def test_topics_and_class_terms(spark):
+    from quarrylight.operators import lexical
+
+    rows = [(i, [float(i % 2) * 10 + i * 0.001, 0.0]) for i in range(60)] + [(60, [500.0, 500.0]), (61, None)]
+    got = {r.k: r.topic for r in models.topics(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v", k=2, beyond=4.0).collect()}
+    assert len(got) == 61 and 61 not in got
+    c = spark.createDataFrame([("x", ["fox", "fox", "hen"]), ("y", ["hen"]), ("y", [])], "g string, t array<string>")
+    assert [(r.g, r.term) for r in lexical.class_terms(c, "g", "t", 1).orderBy("g").collect()] == [("x", "fox"), ("y", "hen")]
