@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -106,27 +106,46 @@ def title_class(sentence: str, title: str | None) -> tuple[int, bool]:
 _BYTE, _MIX = np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x9E3779B1], np.uint32), np.uint32(0x9E3779B1)
 
 
-def features(sentence: str, title: str | None) -> np.ndarray:
-    """Hashed feature numbers, sorted: character 3- to 5-grams, words and word pairs, length and title classes."""
-    shared, untitled = title_class(sentence, title)
-    return _features(sentence, shared, untitled)
-
-
-def _features(sentence: str, shared: int, untitled: bool) -> np.ndarray:
-    low = f" {sentence.lower()} "
-    raw = np.frombuffer(low.encode(), np.uint8).astype(np.uint32)
-    grams, total = [], raw[:-1] * _BYTE[0] + raw[1:] * _BYTE[1]
-    for n in (3, 4, 5):
-        total = total[:-1] + raw[n - 1 :] * _BYTE[n - 1]
-        grams.append(((total + np.uint32(n)) * _MIX) >> np.uint32(32 - BITS))
-    words = low.split()
-    ends = sentence[-1:] if not sentence[-1:].isalnum() else "a"
-    mask = (1 << BITS) - 1
-    rest = [zlib.crc32(w.encode(), 11) & mask for w in words]
-    rest += [zlib.crc32(f"{a} {b}".encode(), 12) & mask for a, b in zip(words, words[1:])]
-    classes = (f"len{min(len(words), 40) // 4}", f"title{shared}", f"notitle{untitled}", f"end{ends}", f"upper{sentence[:1].isupper()}")
-    rest += [zlib.crc32(k.encode(), 13) & mask for k in classes]
-    return np.unique(np.concatenate([*grams, np.array(rest, np.uint32)])).astype(np.int32)
+#: Characters of the sentences whose features are worked out together; one sentence may have more.
+CHUNK = 200_000
+
+Key = tuple[str, int, bool]  # shape, words shared with the title, whether there is no title
+
+
+@lru_cache(maxsize=4096)
+def _class_features(words: int, shared: int, untitled: bool, end: str, upper: bool) -> tuple[int, ...]:
+    names = (f"len{min(words, 40) // 4}", f"title{shared}", f"notitle{untitled}", f"end{end}", f"upper{upper}")
+    return tuple(zlib.crc32(k.encode(), 13) & ((1 << BITS) - 1) for k in names)
+
+
+def features(keys: list[Key]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, ends): the sets of hashed features of sentences, one behind the other: character 3- to 5-grams, length and title classes."""
+    parts, ends, total = [], [], 0
+    upto, cuts = 0, [0]
+    for i, (s, _, _) in enumerate(keys):
+        if upto and upto + len(s) > CHUNK:
+            cuts.append(i)
+            upto = 0
+        upto += len(s) + 1
+    for at, end in zip(cuts, [*cuts[1:], len(keys)]):
+        some = keys[at:end]
+        raws = [f" {s.lower()} ".encode("utf-8", "replace") for s, _, _ in some]
+        raw = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
+        owner = np.repeat(np.arange(len(some), dtype=np.int64) << BITS, [len(r) + 1 for r in raws])
+        wide, inside = raw.astype(np.uint32), raw != 0
+        codes, sums, whole = [], wide[:-1] * _BYTE[0] + wide[1:] * _BYTE[1], inside[:-1] & inside[1:]
+        for n in (3, 4, 5):
+            sums, whole = sums[:-1] + wide[n - 1 :] * _BYTE[n - 1], whole[:-1] & inside[n - 1 :]
+            grams = ((sums[whole] + np.uint32(n)) * _MIX) >> np.uint32(32 - BITS)
+            codes.append(owner[: len(whole)][whole] | grams)
+        classes = [_class_features(s.count(" ") + 1, shared, untitled, s[-1:] if not s[-1:].isalnum() else "a", s[:1].isupper()) for s, shared, untitled in some]
+        codes.append((np.array(classes, np.int64) | (np.arange(len(some), dtype=np.int64) << BITS)[:, None]).ravel())
+        found = np.sort(np.concatenate(codes))
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+        parts.append((found & ((1 << BITS) - 1)).astype(np.int32))
+        ends.append(np.searchsorted(found, np.arange(1, len(some) + 1, dtype=np.int64) << BITS) + total)
+        total += len(found)
+    return np.concatenate(parts), np.concatenate(ends)
 
 
 class Classifier:
@@ -136,16 +155,16 @@ class Classifier:
         self.weights = np.zeros(1 << BITS, np.float32)
         self.bias = 0.0
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> Classifier:
-        scale = 1 / np.sqrt([len(r) for r in rows])
-        # What only one row has can't generalise; its weight stays 0.
-        shared = np.bincount(np.concatenate(rows), minlength=1 << BITS) > 1
-        shared[rows[0][0]] = True  # no row may be left empty
-        rows = [k if len(k := r[shared[r]]) else rows[0][:1] for r in rows]
-        sizes = np.array([len(r) for r in rows])
-        index, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        per = np.repeat(np.arange(len(rows)), sizes)
-        w, b = np.zeros(1 << BITS, np.float64), 0.0
+    def fit(self, index: np.ndarray, ends: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> Classifier:
+        sizes = np.diff(ends, prepend=0)
+        scale = 1 / np.sqrt(sizes)
+        per = np.repeat(np.arange(len(ends)), sizes)
+        # What only one sentence has can't generalise, so it is left out, but for one feature that keeps the sentence's place.
+        shared = np.bincount(index, minlength=1 << BITS)[index] > 1
+        shared[ends - sizes] = True
+        index, per = index[shared], per[shared].astype(np.int32)
+        starts = np.searchsorted(per, np.arange(len(ends)))
+        w, b = np.zeros(1 << BITS), 0.0
         grown = np.full(1 << BITS, 1e-8)
         total = weights.sum()
         for _ in range(STEPS):
@@ -158,9 +177,10 @@ class Classifier:
         self.weights, self.bias = w.astype(np.float32), float(b)
         return self
 
-    def probability(self, row: np.ndarray) -> float:
-        z = float(self.weights[row].sum() / np.sqrt(len(row)) + self.bias)
-        return 1 / (1 + np.exp(-z)) if z > -30 else 0.0
+    def probabilities(self, index: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = np.diff(ends, prepend=0)
+        z = np.add.reduceat(self.weights[index], ends - sizes) / np.sqrt(sizes) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def host_part(domain: str | None) -> int:
@@ -170,23 +190,27 @@ def host_part(domain: str | None) -> int:
 class Model:
     """``affected`` tells affected sentences from ordinary ones, ``demand`` demands for scripts from other affected ones."""
 
-    def __init__(self, rows: list[np.ndarray], kinds: np.ndarray, often: np.ndarray) -> None:
-        self.affected = _fit(rows, kinds > 0, often)
+    def __init__(self, keys: list[Key], kinds: np.ndarray, often: np.ndarray) -> None:
+        self.affected = _fit(keys, kinds > 0, often)
         of = np.flatnonzero(kinds)
         one = set(kinds[of]) if len(set(kinds[of])) == 1 else None
-        self.demand = float(2 in one) if one else _fit([rows[i] for i in of], kinds[of] == 2, often[of])
+        self.demand = float(2 in one) if one else _fit([keys[i] for i in of], kinds[of] == 2, often[of])
 
-    def is_demand(self, row: np.ndarray) -> bool:
-        return (self.demand if isinstance(self.demand, float) else self.demand.probability(row)) >= 0.5
+    def probabilities(self, keys: list[Key]) -> list[tuple[float, bool]]:
+        """Probability that each sentence is affected, and whether it then is a demand."""
+        index, ends = features(keys)
+        p = self.affected.probabilities(index, ends)
+        demands = np.full(len(keys), self.demand) if isinstance(self.demand, float) else self.demand.probabilities(index, ends)
+        return list(zip(p.tolist(), (demands >= 0.5).tolist()))
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, often: np.ndarray) -> Classifier:
+def _fit(keys: list[Key], labels: np.ndarray, often: np.ndarray) -> Classifier:
     """Both classes weigh the same."""
     weights = often * np.where(labels, 0.5 / often[labels].sum(), 0.5 / often[~labels].sum())
-    return Classifier().fit(rows, labels.astype(float), weights)
+    return Classifier().fit(*features(keys), labels.astype(float), weights)
 
 
-def _examples(pages: Iterator[tuple[str, str | None]]) -> Counter:
+def _examples(pages: Iterable[tuple[str, str | None]]) -> Counter:
     """(shape, words shared with the title, untitled, weak label) of the sentences of (text, title) pages, with counts."""
     times: Counter = Counter()
     for text, title in pages:
@@ -213,7 +237,7 @@ def model_of(examples: Counter) -> Model | None:
     kinds, often = np.array([best[k][1] for k in order], int), np.sqrt([best[k][0] for k in order])
     if len(set(kinds > 0)) < 2:
         return None
-    return Model([_features(*k) for k in order], kinds, often)
+    return Model(order, kinds, often)
 
 
 def train(articles: DataFrame) -> Model | None:
@@ -250,18 +274,18 @@ def decide(sentence: str, p: float, demand: bool) -> int:
     return int(_looks_filled(sentence))
 
 
-def residue(text: str | None, title: str | None, probability) -> bool:
-    """Whether the page is a case; ``probability`` scores a sentence, as does ``scorer``."""
-    demands, story, bad = 0, 0, 0
-    for s in sentences(text):
-        kind = decide(s, *probability(s, title))
-        if kind == 2:
-            demands += 1
-        elif kind:
-            bad += 1
-        elif is_story(s) and not _ORDINARY_NOTICE.search(s):
-            story += 1
-    return bad > 0 or (story == 0 and demands > 0)
+def residue(scored: list[tuple[str, float, bool]]) -> bool:
+    """Whether a page is a case, by its sentences with probability and kind, as ``Scorer`` gives them."""
+    demands, rest = False, []
+    for s, p, demand in scored:
+        kind = decide(s, p, demand)
+        if kind == 1:
+            return True
+        if kind:
+            demands = True
+        else:
+            rest.append(s)
+    return demands and not any(is_story(s) and not _ORDINARY_NOTICE.search(s) for s in rest)
 
 
 _ORDINARY_NOTICE = re.compile(r"\bcookies?\b|\bsubscribe from\b|\bfree articles left\b|all rights reserved|\bcomments\b|best viewed|\bsign up for\b", _I)
@@ -273,24 +297,25 @@ def _looks_filled(sentence: str) -> bool:
     return len(words) >= 8 and len(set(words)) <= 0.75 * len(words)
 
 
-def scorer(model: Model | None):
-    """A function of sentence and title, to probability and kind, that remembers the forms and title classes it has scored."""
-    memo: dict[tuple, tuple[float, bool]] = {}
+class Scorer:
+    """Scores pages sentence by sentence, and remembers the shapes and title classes it has scored."""
 
-    def probability(s: str, title: str | None) -> tuple[float, bool]:
-        if model is None:
-            return float(weak_label(s) > 0), False
-        k = shape(s)
-        key = k, title_class(k, title)
-        if (got := memo.get(key)) is None:
-            if len(memo) > 100_000:
-                memo.clear()
-            row = features(k, title)
-            p = model.affected.probability(row)
-            got = memo[key] = p, p >= ALONE and model.is_demand(row)
-        return got
+    def __init__(self, model: Model | None) -> None:
+        self.model = model
+        self.memo: dict[Key, tuple[float, bool]] = {}
 
-    return probability
+    def __call__(self, pages: Iterable[tuple[str | None, str | None]]) -> list[list[tuple[str, float, bool]]]:
+        """(sentence, probability, demand) of every sentence of each (text, title)."""
+        split = [(sentences(text), title) for text, title in pages]
+        if self.model is None:
+            return [[(s, float(weak_label(s) > 0), False) for s in found] for found, _ in split]
+        keyed = [[(s, (k := shape(s), *title_class(k, title))) for s in found] for found, title in split]
+        if len(self.memo) > 100_000:
+            self.memo.clear()
+        memo = self.memo
+        if new := list(dict.fromkeys(k for found in keyed for _, k in found if k not in memo)):
+            memo.update(zip(new, self.model.probabilities(new)))
+        return [[(s, *memo[k]) for s, k in found] for found in keyed]
 
 
 def found(articles: DataFrame) -> DataFrame:
@@ -298,12 +323,11 @@ def found(articles: DataFrame) -> DataFrame:
     var = articles.sparkSession.sparkContext.broadcast(train(articles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probability = scorer(var.value)
+        score = Scorer(var.value)
         for batch in batches:
             keys, texts, titles = (batch.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, x, t in zip(keys, texts, titles) if residue(x, t, probability)], pa.string())], ["article_id"]
-            )
+            bad = [k for k, scored in zip(keys, score(zip(texts, titles))) if residue(scored)]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["article_id"])
 
     rows = articles.filter(F.col("article_text").isNotNull() & F.col("article_id").isNotNull())
     return rows.select("article_id", "article_text", "title").mapInArrow(run, "article_id string").distinct()
@@ -321,17 +345,18 @@ def validation(articles: DataFrame) -> DataFrame:
     names = ["domain", "form", "truth", "guess"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probability = scorer(var.value)
+        score = Scorer(var.value)
         for batch in batches:
             seen: dict[tuple, tuple[bool, bool]] = {}
-            for text, title, domain in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            texts, titles, domains = (batch.column(i).to_pylist() for i in range(3))
+            for scored, title, domain in zip(score(zip(texts, titles)), titles, domains):
                 seen[domain, None] = False, False  # a host without sentences
-                for s in sentences(text):
+                for s, p, demand in scored:
                     k = shape(s)
                     shared, untitled = title_class(k, title)
                     key = domain, f"{shared} {untitled} {k}"
                     if key not in seen:
-                        seen[key] = weak_label(s) > 0, decide(s, *probability(s, title)) > 0
+                        seen[key] = weak_label(s) > 0, decide(s, p, demand) > 0
             columns = ([d for d, _ in seen], [k for _, k in seen], [y for y, _ in seen.values()], [g for _, g in seen.values()])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.bool_()) for i, c in enumerate(columns)], names)
 
