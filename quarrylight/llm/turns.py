@@ -111,9 +111,13 @@ def _resolve(people: Column, key: Column) -> Column:
     return F.coalesce(*found, F.when((F.length(tail) >= 4) & (F.size(near) == 1), guess))
 
 
+#: A letter or digit that no hesitation sound has, and the signs of which every time mark or note has one.
+_SURE, _SIGNS = r"[\p{L}\p{N}&&[^uhmeraoäUHMERAOÄ]]", r"[\[({<*♪:]"
+
+
 def _has_words(c: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, TIME_MARKS, " "), NOISE, " "), FILLERS, " ")
-    return bare.rlike(r"[\p{L}\p{N}]")
+    return F.when(c.rlike(_SURE) & ~c.rlike(_SIGNS), True).otherwise(bare.rlike(r"[\p{L}\p{N}]"))
 
 
 def clean_speech(c: Column) -> Column:
@@ -130,8 +134,9 @@ def speech_pieces(segments: DataFrame, speakers: DataFrame, with_text: bool = Tr
     ``one`` and ``two`` are the lowest numbers of the video's persons.  Labels are resolved once per block and label, not
     per remark; without text only numbers move.
     """
-    text = F.trim(F.regexp_replace("text", TIME_MARKS, " "))
-    marked = F.regexp_replace(text, f"({LABEL})", f"{_OPEN}$1{_SHUT}")
+    # Patterns are only tried where a sign that they need stands.
+    text = F.trim(F.when(F.col("text").contains(":"), F.regexp_replace("text", TIME_MARKS, " ")).otherwise(F.col("text")))
+    marked = F.when(text.rlike(r"[:\[<>]|\s[-–—]\s"), F.regexp_replace(text, f"({LABEL})", f"{_OPEN}$1{_SHUT}")).otherwise(text)
     start = F.coalesce(F.when(~F.isnan("start_s"), F.col("start_s")), F.lit(_LATE))
     segs = (
         segments.select("video_id", "segment_id", "start_s", "text")
