@@ -77,11 +77,12 @@ def running(line: str) -> int:
     n = len(line)
     if not n:
         return 0
-    if _WIDE.search(line):
+    ascii_ = line.isascii()
+    if not ascii_ and _WIDE.search(line):
         return n * 3 if n >= 8 and _END.search(line) and not _MENU.search(line) else 0
     words = line.count(" ") + 1
     if _END.search(line):
-        return n if words >= (3 if _CASELESS.search(line) else 4) and not (_MENU.search(line) and words < 8) else 0
+        return n if words >= (3 if not ascii_ and _CASELESS.search(line) else 4) and not (words < 8 and _MENU.search(line)) else 0
     return n if n >= 110 and not _MENU.search(line) else 0
 
 
@@ -135,22 +136,24 @@ def line_rows(text: str | None, title: str | None) -> list[Line]:
     first, last = body(own)
     story = _hash(max(lines, key=len))
     want, bare = _norm(title), (title or "").strip()
+    start = want.split(" ", 1)[0]  # any line that equals the title has its first word
     shown = [i for i, x in enumerate(raw) if x.strip().strip(_EDGES).strip()]
     out: list[Line] = []
     for i, below in zip(shown, [*shown[1:], -1]):
         s = lines[i]
-        wide, blanks, short = _WIDE.search(s) is not None, s.count(" "), not own[i]
+        wide, blanks, short = not s.isascii() and _WIDE.search(s) is not None, s.count(" "), not own[i]
         flags = 0 if want else UNTITLED
-        if want and s and (_norm(s) == want or s == bare):
+        if want and s and start in s.lower() and (_norm(s) == want or s == bare):
             flags |= TITLE
         if short:
             flags |= BYLINE if _BYLINE.search(s) else 0
-            flags |= SHORT if blanks < 6 and len(s) < 50 and not any(c.isdigit() for c in s) else 0
+            flags |= SHORT if blanks < 6 and len(s) < 50 and not _DIGITS.search(s) else 0
         flags |= HEADLIKE if (len(s) >= 8 if wide else blanks >= 3) else 0
         flags |= MENU if _MENU.search(s) else 0
         flags |= (BEFORE if i < first else 0) | (AFTER if i > last else 0) | (ABOVE if below >= 0 and own[below] else 0)
         whole = form(s)
-        keys = [whole] if short else [form(x) for x in _SENTENCE.split(s) if x.strip()] or [whole]
+        said = [] if short else [x for x in _SENTENCE.split(s) if x.strip()]
+        keys = [form(x) for x in said] if len(said) > 1 or said and said[0] != s else [whole]
         line = _hash(whole)
         out += [(0 if k else i + 1, _hash(x), line, story, own[i], flags) for k, x in enumerate(keys)]
     return out
