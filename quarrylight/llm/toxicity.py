@@ -130,7 +130,7 @@ def _join(out: list[str], at: list[tuple[int, int]] | None, run: int, after: boo
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, end, score) in linear time."""
-    found: list[list] = []  # first, end, sum before, sum up to its end
+    found: list[list] = []  # first, end, sum before, sum up to its end, last one before it with a lesser sum before
     total = 0.0
     for i, s in enumerate(scores):
         if s <= 0:
@@ -141,13 +141,13 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+                found.append([*new, j])
                 break
             new = [found[j][0], new[1], found[j][2], new[3]]
             del found[j:]
-    return [(a, b, r - left) for a, b, left, r in found]
+    return [(a, b, r - left) for a, b, left, r, _ in found]
 
 
 class Model:
