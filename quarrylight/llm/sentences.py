@@ -19,6 +19,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -362,6 +363,7 @@ def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Matched quotations and brackets inside [a, b), as positions of the opening and closing mark."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # closing marks that the stack waits for
     straight = -1
     for m in _MARKS.finditer(text, a, b):
         c, i = m[0], m.start()
@@ -372,12 +374,15 @@ def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
             else:
                 straight = i
         elif stack and c == stack[-1][0]:
+            waiting[c] -= 1
             out.append((stack.pop()[1], i))
         elif c in _OPEN:
+            waiting[_OPEN[c]] += 1
             stack.append((_OPEN[c], i))
-        elif c in ")]”»」』）" and any(c == k for k, _ in stack):
+        elif c in ")]”»」』）" and waiting[c]:
             while stack:
                 k, at = stack.pop()
+                waiting[k] -= 1
                 if k == c:
                     out.append((at, i))
                     break
@@ -387,6 +392,8 @@ def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
 def _sentences(text: str, a: int, b: int, lang: str, stats: Statistics) -> Iterator[tuple[int, int]]:
     spans = _spans(text, a, b)
     opening, openers = {o for o, _ in spans}, "\"“"
+    by_open, by_close = sorted(spans), sorted((c, o) for o, c in spans)
+    closes, inside, opened_upto = [c for c, _ in by_close], [], 0
     start = a
     head = _HEAD_NUMBER.match(text, a, b)
     guard = head.end() if head else a
@@ -401,10 +408,14 @@ def _sentences(text: str, a: int, b: int, lang: str, stats: Statistics) -> Itera
         mark = m[0].rstrip(_CLOSERS.replace("\\", "") + "   ")
         if i < guard and end < b:
             continue
-        closed = [s for s in spans if i < s[1] < end]
-        if any(s[0] < i and s[1] >= end for s in spans):
+        closed = [(o, c) for c, o in by_close[bisect_right(closes, i) : bisect_left(closes, end)]]
+        while opened_upto < len(by_open) and by_open[opened_upto][0] < i:
+            inside.append(by_open[opened_upto])
+            opened_upto += 1
+        inside = [s for s in inside if s[1] >= i]
+        if around := [s for s in inside if s[1] >= end]:
             # Inside a quotation or bracket; it splits only where the whole sentence is quoted and stands alone.
-            outer = max((s for s in spans if s[0] < i and s[1] >= end), key=lambda s: s[1] - s[0])
+            outer = max(around, key=lambda s: s[1] - s[0])
             if outer[0] != _first(text, start, b) or not _alone(text, outer, b, lang, stats):
                 continue
         if end >= b:

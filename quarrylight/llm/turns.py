@@ -13,7 +13,8 @@ Defined results: null or blank text, and text holding only labels, time marks,
 hesitations and sound notes, yields no piece.  Repeated rows of a segment count
 once.  A null ``start_s`` sorts last, ties by segment id.  Speech before the
 first label belongs to the lowest ``speaker_no``; a video without any known
-person gets a null speaker.  An empty input gives an empty result.  Columns
+person gets a null speaker.  Brackets of more than 60 characters hold
+words, not notes.  An empty input gives an empty result.  Columns
 other than the four used are ignored, so clashing names do no harm.
 """
 
