@@ -292,8 +292,8 @@ pr as (select x.rep as a, y.rep as b, count(*) * 1.0 / (any_value(x.n) + any_val
 
 
 def _near(spark, d):
-    a = _t(spark, d, "gdelt_news_articles").groupBy("article_id").agg(F.max("article_text").alias("t"))
-    return dedup.similar_pairs(a, "article_id", "t")
+    a = dedup.one_text(_t(spark, d, "gdelt_news_articles"), "article_id", "article_text")
+    return dedup.similar_pairs(a, "article_id", "article_text")
 
 
 @query(
@@ -303,7 +303,7 @@ select r.article_id as id, r.rep as representative, coalesce(l.n, 0) as links fr
 def near_dup_links(spark, d):
     """One row per article: the representative of its class of equal texts, and the number of similar other classes."""
     pairs, members = _near(spark, d)
-    ends = pairs.select(C("a").alias("r")).unionAll(pairs.select(C("b").alias("r"))).groupBy("r").agg(F.count("*").alias("links"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count("*").alias("links"))
     return members.join(ends, C("representative") == C("r"), "left").select("id", "representative", F.coalesce("links", F.lit(0)).alias("links"))
 
 

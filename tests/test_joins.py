@@ -134,3 +134,31 @@ def test_best_matches(spark):
 def test_numbers(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(T.numeric_tokens(C("t")).alias("n")).first().n == sorted(want)
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_similar_pairs_shuffle_little(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{rng.randrange(100_000)}" for _ in range(300))) for i in range(600)]
+    docs += [(600 + i, t.replace(" ", "  ", 9) + " more") for i, t in docs[:20]] + [(700, ""), (701, " !"), (702, None)]
+    df = spark.createDataFrame(docs, "id int, t string").repartition(2).localCheckpoint()
+    before = shuffled(spark)
+    pairs, members = dedup.similar_pairs(df, "id", "t")
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, 600 + i) for i in range(20)} and members.count() == len(docs)
+    assert shuffled(spark) - before < 600 * 300 * 16
+
+
+def test_one_text(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "x"), (None, "y"), (None, "z"), (3, None), (3, "q"), (4, None), (4, None)], "k int, t string")
+    want = {(1, "b"), (2, "x"), (None, "z"), (3, "q"), (4, None)}
+    for most in (1_000, 0):
+        monkeypatch.setattr(dedup, "BROADCAST", most)
+        got = [tuple(r) for r in dedup.one_text(df, "k", "t").collect()]
+        assert set(got) == want and len(got) == len(want)
