@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import fields
 from quarrylight.functions import text as T
 from quarrylight.operators import evidence, search
+from quarrylight.operators.storage import cut
 
 
 def traced(items: DataFrame, text: str, quote: str, checks: Sequence[tuple[Column, str]]) -> DataFrame:
@@ -155,18 +156,28 @@ def change_status(kind: Column, old_quote: Column, new_quote: Column, old_text:
 def best_matches(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity): for each left (id, text) the right one with the most similar set of words, ties by id.
 
-    Word sets of Jaccard similarity ``least`` share one of the ``|s| - ceil(least |s|) + 1`` rarest words of each, so only
-    these are joined on.
+    Texts of equal sets are one class, which its least right id stands for.  Most classes have an equal one; of the others
+    only those are compared that may be similar enough: word sets of Jaccard similarity ``least`` share one of the
+    ``|s| - ceil(least |s|) + 1`` rarest words of each.  Their best is taken while they are joined, so pairs aren't shuffled.
     """
-    sets = lambda df: df.select("id", F.array_distinct(T.words(F.col("text"))).alias("s")).filter("size(s) > 0")
-    a, b = sets(left), sets(right)
-    word = lambda df: df.select("id", F.size("s").alias("n"), F.explode("s").alias("w"))
-    df = word(a).select("w").unionAll(word(b).select("w")).groupBy("w").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    prefix = lambda x: word(x).join(df, "w").withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("id", "w")
-    met = prefix(a).select(F.col("id").alias("a"), "w").join(prefix(b).select(F.col("id").alias("b"), "w"), "w").select("a", "b").distinct()
-    met = met.join(a.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(b.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    scored = met.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).filter(F.col("similarity") >= least)
-    best = scored.groupBy("a").agg(F.min_by(F.struct("b", "similarity"), F.struct(-F.col("similarity"), F.col("b"))).alias("x"))
-    return best.select("a", "x.b", F.round("x.similarity", 6).alias("similarity"))
+    sets = lambda df: df.select("id", F.array_sort(F.array_distinct(T.words(F.col("text")))).alias("s")).filter("size(s) > 0")
+    rows, b = sets(left), cut(sets(right).groupBy("s").agg(F.min("id").alias("b")))
+    equal = cut(rows.select("s").distinct().join(b, "s", "left"))
+    a = equal.filter("b is null").select("s")
+    word = lambda df: df.select("s", F.explode("s").alias("w"))
+    n_a, n_b = (word(x).groupBy("w").agg(F.count("*").alias(c)) for x, c in ((a, "m"), (b, "n")))
+    both = cut(n_a.join(n_b, "w").select("w", (F.col("m") + F.col("n")).alias("df")))
+    # Words of one side alone only count: sets are the same to the other side if they have the same other words and size.
+    core = lambda x: word(x).join(both, "w").groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda t: t["w"]).alias("core")).withColumn("n", F.size("s"))
+    core_a = cut(core(a))
+    one, other = core_a.select("core", "n").distinct(), cut(core(b).join(b, "s").groupBy("core", "n").agg(F.min("b").alias("b")))
+    first = F.size("core") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    prefix = lambda x: x.filter(first > 0).withColumn("w", F.explode(F.slice("core", F.lit(1), first.cast("int"))))
+    met = prefix(one).join(prefix(other).select(F.col("core").alias("core_b"), F.col("n").alias("n_b"), "b", "w"), "w")
+    near = (F.col("n") * least <= F.col("n_b") + 1e-9) & (F.col("n_b") * least <= F.col("n") + 1e-9)
+    shared = F.size(F.array_intersect("core", "core_b"))
+    scored = met.filter(near).select("core", "n", "b", (shared / (F.col("n") + F.col("n_b") - shared)).alias("similarity")).filter(F.col("similarity") >= least)
+    best = scored.groupBy("core", "n").agg(F.min_by(F.struct("b", "similarity"), F.struct(-F.col("similarity"), F.col("b"))).alias("x"))
+    best = core_a.join(best, ["core", "n"]).select("s", "x.b", "x.similarity")
+    found = equal.filter("b is not null").select("s", "b", F.lit(1.0).alias("similarity")).unionByName(best)
+    return rows.select(F.col("id").alias("a"), "s").join(found, "s").select("a", "b", F.round("similarity", 6).alias("similarity"))

@@ -162,3 +162,13 @@ def test_one_text(spark, monkeypatch):
         monkeypatch.setattr(dedup, "BROADCAST", most)
         got = [tuple(r) for r in dedup.one_text(df, "k", "t").collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_best_matches_of_one_pattern_shuffle_little(spark):
+    pattern = lambda i: f"court hears case on the filing fee in town{i}"
+    a = spark.createDataFrame([(i, pattern(i)) for i in range(0, 900, 2)], "id int, text string").repartition(2).localCheckpoint()
+    b = spark.createDataFrame([(5000 - i, pattern(i % 600)) for i in range(1200)], "id int, text string").repartition(2).localCheckpoint()
+    before = shuffled(spark)
+    got = {r.a: (r.b, r.similarity) for r in verify.best_matches(a, b, 0.6).collect()}
+    assert got == {i: (5000 - i - 600, 1.0) if i < 600 else (3801, 0.8) for i in range(0, 900, 2)}
+    assert shuffled(spark) - before < 190_000
