@@ -45,33 +45,6 @@ def tfidf_terms(docs: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (
     )
 
 
-#: Themes: number, terms of one and two tokens at most, and passes over all documents.
-THEMES, TERMS, PASSES = 8, 8_000, 25
-
-
-def themes(docs: DataFrame, key: str, tokens: str, k: int = THEMES) -> tuple[DataFrame, DataFrame]:
-    """(rows, terms): rows (key, theme, strength), terms (theme, term, weight, rank).
-
-    Latent Dirichlet allocation by the variational method, every pass over all documents.  Terms are the ``TERMS`` most
-    frequent of one and two tokens.  A document's theme is the one with the largest share, the lower number at ties; its
-    strength is that share.  Documents without any of the terms have equal shares, so theme 0.
-    """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    grams = docs.select(key, F.concat(F.col(tokens), T.ngrams(F.col(tokens), 2)).alias("_g"))
-    found = CountVectorizer(inputCol="_g", outputCol="_v", vocabSize=TERMS, minDF=2.0).fit(grams)
-    counted = cut(found.transform(grams).select(key, "_v"))
-    model = LDA(k=k, maxIter=PASSES, seed=42, featuresCol="_v", optimizer="online", subsamplingRate=1.0).fit(counted)
-    share = vector_to_array("topicDistribution")
-    rows = model.transform(counted).select(key, share.alias("_s")).select(key, (F.array_position("_s", F.array_max("_s")) - 1).cast("int").alias("theme"), F.round(F.array_max("_s"), 6).alias("strength"))
-    names = F.array(*map(F.lit, found.vocabulary))
-    top = model.describeTopics(len(found.vocabulary)).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("at", "t"))
-    terms = top.select(F.col("topic").alias("theme"), F.element_at(names, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"), (F.col("at") + 1).alias("rank"))
-    return rows, terms
-
-
 def class_terms(docs: DataFrame, label: str, tokens: str, k: int) -> DataFrame:
     """(label, term, weight, rank): ``tf ln(1 + A / f)`` with tf in the class, f in all and A the mean number of tokens of a class; ties by term."""
     n = docs.select(label, F.explode(tokens).alias("term")).groupBy(label, "term").agg(F.count("*").alias("tf"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import claims, dedup, evidence, export, lexical, models, ordered, quality, sampling, search, sections
+from quarrylight.operators import claims, dedup, evidence, export, factors, lexical, models, ordered, quality, sampling, search, sections
 from quarrylight.plans import briefing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -928,21 +928,21 @@ def rank_positions(spark, d):
 
 
 def _themes(spark, d):
-    c = _t(spark, d, "comments_no_pii").groupBy("comment_id").agg(F.max("comment_clean").alias("x")).select("comment_id", T.topic_tokens(C("x")).alias("t")).filter("size(t) > 0")
-    return lexical.themes(c, "comment_id", "t")
+    c = _t(spark, d, "comments_no_pii").groupBy("comment_id").agg(F.max("comment_clean").alias("x"))
+    return factors.themes(c, "comment_id", "x")
 
 
 @query()
 def themes(spark, d):
-    """Dominant theme and strength of every comment with a topic token, and the size of the theme; a mixture model in place of a
-    factorisation that Spark lacks, so an approximation."""
+    """Dominant theme and strength of every comment with a topic token, and the size of the theme, by a
+    non-negative factorisation."""
     rows = _themes(spark, d)[0]
     return rows.join(F.broadcast(rows.groupBy("theme").agg(F.count("*").alias("size"))), "theme").select("comment_id", "theme", "strength", "size")
 
 
 @query()
 def theme_terms(spark, d):
-    """The 150 heaviest terms of every theme with their weights, the first twelve of which describe it."""
+    """The 150 heaviest terms of every theme with their weights above zero, the first twelve of which describe it."""
     return _themes(spark, d)[1].filter("rank <= 150")
 
 
