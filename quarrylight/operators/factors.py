@@ -27,11 +27,11 @@ _TERM = re.compile(r"[a-z0-9_]{2,}")
 Batches = Iterator[pa.RecordBatch]
 
 
-def _raw(text: str) -> F.Column:
-    """What ``T.topic_tokens`` strips and filters: its blanks, signs and squeezing only separate these."""
+def _plain(text: str) -> F.Column:
+    """The text from which ``T.topic_tokens`` takes tokens, with all the blanks and signs that only separate these."""
     c = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " ")
     c = F.regexp_replace(c, r"https?://[^\s]+|www\.[^\s]+", " URL ")
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z0-9'#+.\-]*"), F.lit(0))
+    return F.lower(c)
 
 
 def _column(values: list, kind: pa.DataType | None = None) -> pa.Array:
@@ -42,11 +42,12 @@ def _packed(batches: Batches) -> Batches:
     """A row a batch: keys of the documents with a topic token, their numbers of tokens, all tokens as codes, and the words."""
     stop = set(T.STOPWORDS)
     for b in batches:
-        coded, lens = b.column(1).flatten().dictionary_encode(), pc.list_value_length(b.column(1)).to_numpy()
+        runs = pc.split_pattern_regex(b.column(1), r"[^a-z0-9'#+.\-]+")
+        coded, lens = runs.flatten().dictionary_encode(), pc.list_value_length(runs).to_numpy()
         words: dict[str, int] = {}
         topic, size, flat = [], [], []
-        for raw in coded.dictionary.to_pylist():
-            t = raw.strip("'#+.-")
+        for run in coded.dictionary.to_pylist():
+            t = run.lstrip("0123456789'#+.-").rstrip("'#+.-")
             topic.append(len(t) >= 3 and t not in stop)
             parts = [p for p in _TERM.findall(t) if p not in stop] if topic[-1] else []
             size.append(len(parts))
@@ -117,19 +118,19 @@ class _Rows:
         lens, norm = np.frombuffer(b.column(1)[i].as_py(), np.int32), np.frombuffer(b.column(3)[i].as_py(), np.float64)
         self.full = lens > 0
         self.lens, self.norm, self.idf = lens[self.full], norm[self.full], idf
-        self.at, self.terms = np.cumsum(self.lens) - self.lens, np.frombuffer(b.column(2)[i].as_py(), np.uint16).astype(np.intp)
+        self.doc, self.terms = np.repeat(np.arange(len(self.lens)), self.lens), np.frombuffer(b.column(2)[i].as_py(), np.uint16).astype(np.intp)
 
     def times(self, h: np.ndarray) -> np.ndarray:
         """``h X'``, a column a document."""
-        return np.array([np.add.reduceat((x * self.idf)[self.terms], self.at) / self.norm for x in h]) if len(self.at) else np.zeros((len(h), 0))
+        return np.array([np.bincount(self.doc, (x * self.idf)[self.terms], len(self.lens)) / self.norm for x in h])
 
     def sums(self, w: np.ndarray) -> np.ndarray:
         """``w X`` with a column of ``w`` a document."""
         return np.array([np.bincount(self.terms, np.repeat(x / self.norm, self.lens), len(self.idf)) * self.idf for x in w])
 
 
-def nonnegative(g: np.ndarray, b: np.ndarray, sweeps: int = 2_000, least: float = 1e-10) -> np.ndarray:
-    """The columns x >= 0 with the least ``x'gx / 2 - b'x``, by coordinate descent until none moves."""
+def nonnegative(g: np.ndarray, b: np.ndarray, least: float = 1e-10, sweeps: int = 10_000) -> np.ndarray:
+    """The columns x >= 0 with the least ``x'gx / 2 - b'x``, by coordinate descent until none moves by more than ``least``."""
     diagonal = np.maximum(np.diag(g), 1e-12)
     x, live = np.maximum(np.linalg.pinv(g, hermitian=True) @ b, 0), np.arange(b.shape[1])
     part, aim = x, b
@@ -158,7 +159,7 @@ def _summed(packed: DataFrame, idf: np.ndarray, f: Callable[[_Rows], np.ndarray]
         for b in batches:
             for i in range(b.num_rows):
                 rows = _Rows(b, i, idf)
-                if len(rows.at):
+                if len(rows.lens):
                     total = f(rows) if total is None else total + f(rows)
         if total is not None:
             yield pa.RecordBatch.from_arrays([_column([total])], ["total"])
@@ -224,7 +225,7 @@ def factorised(packed: DataFrame, idf: np.ndarray, k: int, n: int, passes: int =
 
     def both(g: np.ndarray, h: np.ndarray) -> Callable[[_Rows], np.ndarray]:
         def f(r: _Rows) -> np.ndarray:
-            w = nonnegative(g, r.times(h))
+            w = nonnegative(g, r.times(h), 1e-7)
             return np.concatenate([r.sums(w).ravel(), (w @ w.T).ravel(), [w.shape[1]]])
 
         return f
@@ -258,7 +259,7 @@ def themes(docs: DataFrame, key: str, text: str, k: int = THEMES) -> tuple[DataF
     lower number at ties; its strength is that weight.  Documents without any of the terms have theme 0 and strength 0.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    tokens = cut(docs.select(key, _raw(text).alias("_t")).mapInArrow(_packed, f"keys array<{kind}>, lens binary, tokens binary, words array<string>"))
+    tokens = cut(docs.select(key, _plain(text).alias("_t")).mapInArrow(_packed, f"keys array<{kind}>, lens binary, tokens binary, words array<string>"))
     n = tokens.agg(F.sum(F.size("keys"))).first()[0] or 0
     least = 1 if n < 30 else 2 if n < 100 else 3
     counts = tokens.mapInArrow(_counted, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
