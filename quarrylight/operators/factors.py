@@ -22,6 +22,8 @@ from quarrylight.operators.storage import cut
 THEMES, TERMS, PASSES, TOLERANCE = 8, 8_000, 1_000, 1e-4
 #: Start: columns and steps of the Krylov space in which the singular vectors are found.
 _COLUMNS, _STEPS = 12, 5
+#: Least squares with signs: rows at most of which every set is tried, and changes of the sets.
+_SETS, _CHANGES = 8, 8
 _TERM = re.compile(r"[a-z0-9_]{2,}")
 
 Batches = Iterator[pa.RecordBatch]
@@ -29,8 +31,9 @@ Batches = Iterator[pa.RecordBatch]
 
 def _plain(text: str) -> F.Column:
     """The text from which ``T.topic_tokens`` takes tokens, with all the blanks and signs that only separate these."""
-    c = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " ")
-    c = F.regexp_replace(c, r"https?://[^\s]+|www\.[^\s]+", " URL ")
+    c = raw = F.coalesce(text, F.lit(""))
+    c = F.when(raw.contains("<"), F.regexp_replace(c, r"<[^>]+>", " ")).otherwise(c)
+    c = F.when(raw.contains("http") | raw.contains("www."), F.regexp_replace(c, r"https?://[^\s]+|www\.[^\s]+", " URL ")).otherwise(c)
     return F.lower(c)
 
 
@@ -115,25 +118,50 @@ class _Rows:
     """The TF-IDF rows of a batch, documents without terms left out."""
 
     def __init__(self, b: pa.RecordBatch, i: int, idf: np.ndarray):
-        lens, norm = np.frombuffer(b.column(1)[i].as_py(), np.int32), np.frombuffer(b.column(3)[i].as_py(), np.float64)
+        lens, norm = np.frombuffer(b.column("lens")[i].as_buffer(), np.int32), np.frombuffer(b.column("norm")[i].as_buffer(), np.float64)
         self.full = lens > 0
         self.lens, self.norm, self.idf = lens[self.full], norm[self.full], idf
-        self.doc, self.terms = np.repeat(np.arange(len(self.lens)), self.lens), np.frombuffer(b.column(2)[i].as_py(), np.uint16).astype(np.intp)
+        self.at, self.terms = np.cumsum(self.lens) - self.lens, np.frombuffer(b.column("terms")[i].as_buffer(), np.uint16).astype(np.intp)
 
     def times(self, h: np.ndarray) -> np.ndarray:
         """``h X'``, a column a document."""
-        return np.array([np.bincount(self.doc, (x * self.idf)[self.terms], len(self.lens)) / self.norm for x in h])
+        spare = np.empty(len(self.terms))
+        return np.array([np.add.reduceat(np.take(x, self.terms, out=spare, mode="clip"), self.at) for x in h * self.idf]) / self.norm
 
     def sums(self, w: np.ndarray) -> np.ndarray:
         """``w X`` with a column of ``w`` a document."""
-        return np.array([np.bincount(self.terms, np.repeat(x / self.norm, self.lens), len(self.idf)) * self.idf for x in w])
+        return np.array([np.bincount(self.terms, np.repeat(x, self.lens), len(self.idf)) for x in w / self.norm]) * self.idf
 
 
-def nonnegative(g: np.ndarray, b: np.ndarray, least: float = 1e-10, sweeps: int = 10_000) -> np.ndarray:
-    """The columns x >= 0 with the least ``x'gx / 2 - b'x``, by coordinate descent until none moves by more than ``least``."""
-    diagonal = np.maximum(np.diag(g), 1e-12)
+def _inverses(g: np.ndarray) -> np.ndarray:
+    """For every set of rows, by its bits, the inverse of that part of g, zeros elsewhere."""
+    held = (np.arange(1 << len(g))[:, None] >> np.arange(len(g))) & 1
+    pair = held[:, :, None] * held[:, None, :]
+    return np.linalg.pinv(g * pair, hermitian=True) * pair
+
+
+def nonnegative(g: np.ndarray, b: np.ndarray, least: float = 1e-10, sweeps: int = 10_000, inverses: np.ndarray | None = None) -> np.ndarray:
+    """The columns x >= 0 with the least ``x'gx / 2 - b'x``.
+
+    Rows that have the wrong sign, in x or in the slope, change between zero and free until none has; columns for which
+    that doesn't end soon, and all with many rows, by coordinate descent until none moves by more than ``least``.
+    ``inverses`` are those of g, for callers with many b.
+    """
     x, live = np.maximum(np.linalg.pinv(g, hermitian=True) @ b, 0), np.arange(b.shape[1])
-    part, aim = x, b
+    if len(g) <= _SETS:
+        inverses, part = _inverses(g) if inverses is None else inverses, np.ascontiguousarray(b.T)
+        free, low = x.T > 0, lambda v, of: v < -1e-12 * np.abs(of).max(1, keepdims=True)
+        for _ in range(_CHANGES):
+            y = np.einsum("nij,nj->ni", inverses[free @ (1 << np.arange(len(g)))], part)
+            slope = y @ g - part
+            wrong = np.where(free, low(y, y), low(slope, part))
+            more = wrong.any(1)
+            x[:, live] = np.maximum(y, 0).T
+            live, part, free = live[more], part[more], free[more] ^ wrong[more]
+            if not len(live):
+                return x
+    diagonal = np.maximum(np.diag(g), 1e-12)
+    part, aim = x[:, live], b[:, live]
     for _ in range(sweeps):
         moved = np.zeros(len(live))
         for k in range(len(g)):
@@ -170,7 +198,7 @@ def _summed(packed: DataFrame, idf: np.ndarray, f: Callable[[_Rows], np.ndarray]
             yield pa.RecordBatch.from_arrays([_column([total])], ["total"])
 
     cores = packed.sparkSession.sparkContext.defaultParallelism
-    got = packed.coalesce(2 * cores).mapInArrow(run, "total binary")
+    got = packed.select("lens", "terms", "norm").coalesce(cores).mapInArrow(run, "total binary")
     if cores > 64:
         got = got.repartition(8).mapInArrow(join, "total binary")
     return np.sum([np.frombuffer(r.total) for r in got.collect()], 0)
@@ -224,8 +252,10 @@ def factorised(packed: DataFrame, idf: np.ndarray, k: int, n: int, passes: int =
     least, first, ahead = np.inf, 0.0, 0.5
 
     def both(g: np.ndarray, h: np.ndarray) -> Callable[[_Rows], np.ndarray]:
+        sets = _inverses(g) if k <= _SETS else None
+
         def f(r: _Rows) -> np.ndarray:
-            w = nonnegative(g, r.times(h), 1e-7)
+            w = nonnegative(g, r.times(h), 1e-7, inverses=sets)
             return np.concatenate([r.sums(w).ravel(), (w @ w.T).ravel(), [w.shape[1]]])
 
         return f
@@ -245,7 +275,7 @@ def factorised(packed: DataFrame, idf: np.ndarray, k: int, n: int, passes: int =
         if violation <= tolerance * first or at + 1 == passes:
             break
         h = nonnegative(ww, wx)
-        tried, ahead = (h if at == 0 else np.maximum(h + ahead * (h - last), 0)), min(1.0, ahead * 1.05)
+        tried, ahead = (h if at == 0 else np.maximum(h + ahead * (h - last), 0)), min(1.0, ahead * 1.2)
     own = np.linalg.norm(best, axis=1)
     return best * np.sqrt(np.divide(weight, own, out=np.ones(k), where=(own > 0) & (weight > 0)))[:, None]
 
@@ -267,13 +297,14 @@ def themes(docs: DataFrame, key: str, text: str, k: int = THEMES) -> tuple[DataF
     names, idf = [r.term for r in kept], np.log((1.0 + n) / (1.0 + np.array([r.df for r in kept], float))) + 1.0
     packed = cut(tokens.mapInArrow(_weighted(names, idf), f"keys array<{kind}>, lens binary, terms binary, norm binary"))
     h = factorised(packed, idf, min(k, n, len(names)), n) if names else np.zeros((1, 0))
+    sets = _inverses(h @ h.T) if len(h) <= _SETS else None
 
     def dealt(batches: Batches) -> Batches:
         for b in batches:
             for i in range(b.num_rows):
-                rows, keys = _Rows(b, i, idf), b.column(0)[i].values
+                rows, keys = _Rows(b, i, idf), b.column("keys")[i].values
                 w = np.zeros((len(h), len(keys)))
-                w[:, rows.full] = nonnegative(h @ h.T, rows.times(h))
+                w[:, rows.full] = nonnegative(h @ h.T, rows.times(h), inverses=sets)
                 w = w.round(6)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(w.argmax(0).astype(np.int32)), pa.array(w.max(0))], [key, "theme", "strength"])
 

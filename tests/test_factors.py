@@ -72,3 +72,31 @@ def test_nonnegative_is_exact():
     r = np.random.default_rng(2)
     h, x = np.abs(r.normal(size=(4, 9))), r.normal(size=(50, 9))
     assert np.allclose(factors.nonnegative(h @ h.T, h @ x.T).T, [best(h, v) for v in x], atol=1e-6)
+
+
+def test_nonnegative_by_sets_of_rows():
+    r = np.random.default_rng(3)
+    h, x = np.abs(r.normal(size=(8, 12))) ** 2, np.abs(r.normal(size=(3000, 12))) ** 3
+    g, b = h @ h.T, h @ x.T
+    w = factors.nonnegative(g, b, sweeps=0)  # no descent
+    slope = g @ w - b
+    assert (w >= 0).all() and (slope > -1e-9 * np.abs(b).max()).all() and np.abs(slope * w).max() < 1e-8 * np.abs(b).max() ** 2
+    assert 0.2 < (w == 0).mean() < 0.9
+    assert np.allclose(w, factors.nonnegative(g, b, inverses=factors._inverses(g)))
+
+
+def test_nonnegative_of_equal_zero_and_many_rows():
+    r = np.random.default_rng(4)
+    h, x = np.abs(r.normal(size=(11, 30))), np.abs(r.normal(size=(200, 30))) ** 2
+    for rows in (h[[0, 1, 1, 2]], np.vstack([h[:3], np.zeros((1, 30))]), np.zeros((1, 30)), h):
+        w = factors.nonnegative(rows @ rows.T, rows @ x.T)
+        slope = rows @ rows.T @ w - rows @ x.T
+        assert (w >= 0).all() and slope.min() > -1e-5 and np.abs(slope * w).max() < 1e-5
+    assert factors.nonnegative(h @ h.T, np.zeros((11, 0))).shape == (11, 0)
+
+
+def test_texts_with_and_without_marks(spark):
+    odd = ODD + ["a<b", "<", "x <b>y</b> <", "see http", "http://", "HTTPS://a.b c", "www.a.b<i>c", "ht<b>tp://x y", "w<i>ww.q z"]
+    docs = spark.createDataFrame([(v,) for v in odd], "x string")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("x", F.lit("")), r"<[^>]+>", " "), r"https?://[^\s]+|www\.[^\s]+", " URL "))
+    assert docs.filter(factors._plain("x") != plain).count() == 0
