@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
@@ -179,6 +180,18 @@ def nonnegative(g: np.ndarray, b: np.ndarray, least: float = 1e-10, sweeps: int
     return x
 
 
+@contextmanager
+def _handed(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Workers get so many rows at a time, which here are large, and begin while the next are read."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _summed(packed: DataFrame, idf: np.ndarray, f: Callable[[_Rows], np.ndarray]) -> np.ndarray:
     """The sum of f over all batches."""
 
@@ -201,7 +214,8 @@ def _summed(packed: DataFrame, idf: np.ndarray, f: Callable[[_Rows], np.ndarray]
     got = packed.select("lens", "terms", "norm").coalesce(cores).mapInArrow(run, "total binary")
     if cores > 64:
         got = got.repartition(8).mapInArrow(join, "total binary")
-    return np.sum([np.frombuffer(r.total) for r in got.collect()], 0)
+    with _handed(packed.sparkSession, 4):
+        return np.sum([np.frombuffer(r.total) for r in got.collect()], 0)
 
 
 def _start(packed: DataFrame, idf: np.ndarray, k: int, n: int) -> np.ndarray:

@@ -100,3 +100,14 @@ def test_texts_with_and_without_marks(spark):
     docs = spark.createDataFrame([(v,) for v in odd], "x string")
     plain = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("x", F.lit("")), r"<[^>]+>", " "), r"https?://[^\s]+|www\.[^\s]+", " URL "))
     assert docs.filter(factors._plain("x") != plain).count() == 0
+
+
+def test_passes_leave_the_session_as_it_is(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 77)
+        factors.themes(spark.createDataFrame([(i, v) for i, v in enumerate(texts())], "id long, x string"), "id", "x", 2)
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.set(name, before)
